@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from foldwright.catalog.base import ORACLES, QUERIES
-from foldwright.catalog import comparisons, data, scores, splits  # noqa: F401
+from foldwright.catalog import comparisons, data, preparation, scores, splits  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
