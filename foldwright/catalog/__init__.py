@@ -1,6 +1,15 @@
 """All registered queries."""
 
 from foldwright.catalog.base import ORACLES, QUERIES
-from foldwright.catalog import comparisons, data, preparation, scores, splits  # noqa: F401
+from foldwright.catalog import (  # noqa: F401
+    comparisons,
+    data,
+    models,
+    preparation,
+    scores,
+    splits,
+    streams,
+    study,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

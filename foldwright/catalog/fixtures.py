@@ -44,8 +44,9 @@ CTE = {
         secs / 100 AS fit_seconds_mean, n_rows / 1000e0 AS model_size_mb_mean,
         secs * 2 AS latency_ms_per_1k_mean,
         CASE WHEN task = 'classification' THEN score ELSE -score END AS "primary"
-      FROM (SELECT dataset, model, mode, seed, task, tier, cast(sum(d) AS DOUBLE) / (count(*) * 10) AS score,
-          cast(sum(t) AS DOUBLE) / (count(*) * 100) AS err, cast(sum(q) AS DOUBLE) / count(*) AS secs,
+      FROM (SELECT dataset, model, mode, seed, task, tier, floor(cast(sum(d) AS DOUBLE) * 1048576 / (count(*) * 10)) / 1048576e0 AS score,
+          floor(cast(sum(t) AS DOUBLE) * 1048576 / (count(*) * 100)) / 1048576e0 AS err,
+          floor(cast(sum(q) AS DOUBLE) * 1048576 / count(*)) / 1048576e0 AS secs,
           count(*) AS n_rows
         FROM (SELECT 'ds_' || l_returnflag || l_linestatus AS dataset,
             ['linear', 'hist_gb', 'xgboost'][l_partkey % 3 + 1] AS model,

@@ -75,6 +75,22 @@ def training_gram(grams: dict[int, np.ndarray], test_fold: int) -> np.ndarray:
     return sum(g for f, g in grams.items() if f != test_fold)
 
 
+def rescaled_gram(g: np.ndarray, center: Sequence[float], scale: Sequence[float]) -> np.ndarray:
+    """Gram of the columns (1, (x - center) / scale, y) from that of (1, x, y)."""
+    d = len(center)
+    t = np.eye(d + 2)
+    for j in range(d):
+        t[j + 1, j + 1] = 1 / scale[j]
+        t[j + 1, 0] = -center[j] / scale[j]
+    return t @ g @ t.T
+
+
+def raw_coefficients(w: np.ndarray, center: Sequence[float], scale: Sequence[float]) -> np.ndarray:
+    """Coefficients on the unscaled features."""
+    slopes = np.asarray(w[1:]) / np.asarray(scale)
+    return np.concatenate([[w[0] - slopes @ np.asarray(center)], slopes])
+
+
 def _centred(g: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray]:
     n = g[0, 0]
     x_mean, y_mean = g[0, 1:-1] / n, g[0, -1] / n
@@ -192,6 +208,7 @@ class Logistic:
     C: float = 1.0
     max_iter: int = 200
     l1: bool = False
+    tol: float = 1e-6
 
     def fit(self, train: DataFrame) -> VectorModel:
         vectors = train.select(
@@ -205,7 +222,7 @@ class Logistic:
                 elasticNetParam=1.0 if self.l1 else 0.0,
                 standardization=False,
                 maxIter=self.max_iter,
-                tol=1e-6,
+                tol=self.tol,
             ).fit(vectors)
         finally:
             vectors.unpersist()

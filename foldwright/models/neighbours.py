@@ -42,13 +42,13 @@ def neighbour_table(
     left = train.select(
         F.col("row_id").alias("train_id"),
         F.col(TARGET).cast("double").alias("y"),
-        "features",
+        F.col("features").alias("train_features"),
         block(t_blocks).alias("tb"),
         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
     )
     right = queries.select(
         F.col("row_id").alias("query_id"),
-        "features",
+        F.col("features").alias("query_features"),
         block(q_blocks).alias("qb"),
         F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("tb"),
     )
@@ -58,12 +58,12 @@ def neighbour_table(
         if t.empty or q.empty:
             return pd.DataFrame({c: [] for c in columns})
         order = np.argsort(t["train_id"].to_numpy(dtype=str), kind="stable")
-        x = np.stack(t["features"].to_numpy())[order]
+        x = np.stack(t["train_features"].to_numpy())[order]
         ids, y = t["train_id"].to_numpy()[order], t["y"].to_numpy()[order]
         x_norm = (x * x).sum(axis=1)
         parts = []
         for start in range(0, len(q), 512):
-            z = np.stack(q["features"].iloc[start : start + 512].to_numpy())
+            z = np.stack(q["query_features"].iloc[start : start + 512].to_numpy())
             names = q["query_id"].iloc[start : start + 512].to_numpy()
             rough = x_norm[None, :] - 2 * z @ x.T
             m = min(k, len(x))

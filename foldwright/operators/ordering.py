@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _EARLIER = (Window.unboundedPreceding, -1)
+IN_TASK_ROWS = 500_000
 
 
 def seeded_hash(seed: int, key: str = "row_id") -> Column:
@@ -154,6 +155,26 @@ def prefix_sums(
     )
 
 
+def _percentiles(
+    counts: DataFrame, group: Sequence[str], value: str, weights: Sequence[str], probs: Sequence[float]
+) -> DataFrame:
+    probs = [float(p) for p in probs]
+    sets = counts.groupBy(*group).agg(
+        *[F.percentile(value, probs, F.col(w)).alias(w) for w in weights]
+    )
+    long = sets.select(
+        *group,
+        F.inline(F.array(*[F.struct(F.lit(w).alias("weight_set"), F.col(w).alias("_q")) for w in weights])),
+    )
+    return long.select(*group, "weight_set", F.posexplode("_q").alias("prob_index", "quantile")).select(
+        *group,
+        "weight_set",
+        "prob_index",
+        F.get(F.array(*[F.lit(p) for p in probs]), F.col("prob_index")).alias("prob"),
+        "quantile",
+    )
+
+
 def quantile_table(
     counts: DataFrame,
     group: Sequence[str],
@@ -161,13 +182,18 @@ def quantile_table(
     weights: Sequence[str],
     probs: Sequence[float],
     buckets: int = 64,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of weighted distinct values.
 
     Several weight columns give several quantile sets from one pass, e.g. one
     per training fold. Returns (group..., weight_set, prob_index, prob, quantile).
+    A counted row total of at most IN_TASK_ROWS bounds the buffer of Spark's own
+    ``percentile``; larger or uncounted data take the bucketed way.
     """
     group = list(group)
+    if rows is not None and rows <= IN_TASK_ROWS:
+        return _percentiles(counts, group, value, weights, probs)
     bucketed = _with_value_bucket(counts, group, value, buckets)
     starts = _bucket_starts(bucketed, group, weights)
     prob_array = F.array(*[F.lit(float(p)) for p in probs])

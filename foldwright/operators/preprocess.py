@@ -23,6 +23,7 @@ from foldwright.operators.traits import RARE_FREQUENCY
 from foldwright.session import scratch_path
 
 BROADCAST_ROWS = 200_000
+LOCAL_ROWS = 10_000
 N_QUANTILES = 1000
 CROSSFIT_FOLDS = 5
 _EDGE = 1e-7
@@ -112,7 +113,9 @@ def numeric_parameters(
     names = [f"w{s}" for s in range(sets)]
     if imputer == "median":
         fills = [{c: None for c in numeric} for _ in range(sets)]
-        for r in quantile_table(counts, ["feature"], "value", names, [0.5]).collect():
+        for r in quantile_table(
+            counts, ["feature"], "value", names, [0.5], rows=sum(sizes.values())
+        ).collect():
             fills[int(r["weight_set"][1:])][r["feature"]] = r["quantile"]
     else:
         fills = [{c: (m[1] if m[0] else None) for c, m in merged[s].items()} for s in range(sets)]
@@ -137,7 +140,9 @@ def numeric_parameters(
             else [float(v) for v in np.linspace(0, 1, max(2, min(n_quantiles, min(n_all))))]
         )
         found: dict[tuple[int, str], dict[int, float]] = {}
-        for r in quantile_table(imputed, ["feature"], "value", names, probs).collect():
+        for r in quantile_table(
+            imputed, ["feature"], "value", names, probs, rows=sum(sizes.values())
+        ).collect():
             found.setdefault((int(r["weight_set"][1:]), r["feature"]), {})[r["prob_index"]] = r["quantile"]
         for (s, c), q in found.items():
             if scaler == "robust":
@@ -442,7 +447,8 @@ class Preprocessor:
         fitted.fills = {c: v for c, v in fills.items() if v is not None}
         features = list(fitted.fills)
         full = imputed_counts(counts, fitted.fills)
-        n_rows = counts.groupBy("feature").agg(F.sum("n").alias("n")).first()["n"]
+        sizes = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
+        n_rows, n_categories = sizes[0]["n"], sum(r["k"] for r in sizes)
         if self.cat_encoder == "onehot":
             table = onehot_table(full, n_rows)
         elif self.cat_encoder == "ordinal":
@@ -451,21 +457,31 @@ class Preprocessor:
             table, fitted.target_means = target_encoding(
                 fill_categories(train, fitted.fills), features, self.task, self.seed, self.classes
             )
-        # Written once: the table is read by every later transform of this fold.
-        path = scratch_path(train.sparkSession, "categories")
-        table.write.partitionBy("feature").parquet(path)
-        fitted.table = train.sparkSession.read.schema(table.schema).parquet(path)
-        sizes = fitted.table.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("rows"),
-            *([F.max("slot").alias("last")] if self.cat_encoder == "onehot" else []),
-        )
-        for r in sizes.collect():
-            fitted.sizes[r["feature"]] = r["rows"]
-            if self.cat_encoder == "onehot":
-                fitted.slots[r["feature"]] = r["last"] + 1
-        hot = full.filter(F.col("n") >= RARE_FREQUENCY * n_rows).collect()
-        for r in hot:
-            fitted.hot.setdefault(r["feature"], []).append(r["category"])
+        # The table is read by every later transform of this fold: a small one becomes
+        # local rows, any other is written once.
+        spark = train.sparkSession
+        if n_categories <= LOCAL_ROWS:
+            local = table.collect()
+            fitted.table = spark.createDataFrame(local, table.schema)
+            for r in local:
+                fitted.sizes[r["feature"]] = fitted.sizes.get(r["feature"], 0) + 1
+                if self.cat_encoder == "onehot":
+                    fitted.slots[r["feature"]] = max(fitted.slots.get(r["feature"], 0), r["slot"] + 1)
+        else:
+            path = scratch_path(spark, "categories")
+            table.write.partitionBy("feature").parquet(path)
+            fitted.table = spark.read.schema(table.schema).parquet(path)
+            found = fitted.table.groupBy("feature").agg(
+                F.count(F.lit(1)).alias("rows"),
+                *([F.max("slot").alias("last")] if self.cat_encoder == "onehot" else []),
+            )
+            for r in found.collect():
+                fitted.sizes[r["feature"]] = r["rows"]
+                if self.cat_encoder == "onehot":
+                    fitted.slots[r["feature"]] = r["last"] + 1
+            # Hot categories (at least 1 % of the rows each) matter for shuffled lookups only.
+            for r in full.filter(F.col("n") >= RARE_FREQUENCY * n_rows).collect():
+                fitted.hot.setdefault(r["feature"], []).append(r["category"])
         counts.unpersist()
 
 

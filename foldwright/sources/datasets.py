@@ -196,7 +196,8 @@ MODES = ("automated", "baseline_default", "baseline_expert")
 def study_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tidy run table whose scores are aggregates over lineitem groups.
 
-    Scores divide exact integer sums, so they do not depend on summation order.
+    Scores are multiples of 2^-20 made from exact integer sums, so that sums over
+    seeds are exact too and ties do not depend on summation order.
     """
     discount = F.round(F.col("l_discount") * 100).cast("long")
     tax = F.round(F.col("l_tax") * 100).cast("long")
@@ -220,9 +221,9 @@ def study_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         quantity.alias("q"),
     )
     runs = keyed.groupBy("dataset", "model", "mode", "seed", "task", "tier").agg(
-        (F.sum("d") / (F.count(F.lit(1)) * 10)).alias("score"),
-        (F.sum("t") / (F.count(F.lit(1)) * 100)).alias("err"),
-        (F.sum("q") / F.count(F.lit(1))).alias("secs"),
+        (F.floor(F.sum("d") * 2**20 / (F.count(F.lit(1)) * 10)) / 2.0**20).alias("score"),
+        (F.floor(F.sum("t") * 2**20 / (F.count(F.lit(1)) * 100)) / 2.0**20).alias("err"),
+        (F.floor(F.sum("q") * 2**20 / F.count(F.lit(1))) / 2.0**20).alias("secs"),
         F.count(F.lit(1)).alias("n_rows"),
     )
     classification = F.col("task") == "classification"
