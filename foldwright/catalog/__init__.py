@@ -8,6 +8,7 @@ from foldwright.catalog import (  # noqa: F401
     preparation,
     scores,
     splits,
+    storage,
     streams,
     study,
 )

@@ -89,7 +89,7 @@ def ridge_two_features(spark, sf_dir):
     df = dataset(spark, sf_dir, "line_reg").df
     rows = df.select("row_id", TARGET, F.array("l_extendedprice", "l_quantity").alias("features"))
     w = linear.Ridge(1.0).fit(rows).coefficients
-    return spark.createDataFrame([(round(w[1], 6), round(w[2], 4), round(w[0], 2))],
+    return spark.createDataFrame([(float(round(w[1], 6)), float(round(w[2], 4)), float(round(w[0], 2)))],
                                  "w_price double, w_quantity double, intercept double")
 
 
@@ -100,7 +100,7 @@ def lasso_one_feature(spark, sf_dir):
     df = dataset(spark, sf_dir, "line_reg").df
     rows = df.select("row_id", (F.col(TARGET) / 1000).alias(TARGET), F.array(F.col("l_extendedprice") / 1000).alias("features"))
     w = linear.Lasso(5.0).fit(rows).coefficients
-    return spark.createDataFrame([(round(w[1], 6), round(w[0], 5))], "slope double, intercept double")
+    return spark.createDataFrame([(float(round(w[1], 6)), float(round(w[0], 5)))], "slope double, intercept double")
 
 
 # ---------------------------------------------------------------- nearest neighbours

@@ -54,6 +54,14 @@ def layout_parts(n_rows: int, rows_per_part: int = 100_000, least: int = 4) -> i
     return max(least, -(-n_rows // rows_per_part))
 
 
+def spread(df: DataFrame, n_rows: int, parts: int = 8, small: int = 2_000_000) -> DataFrame:
+    """Give a small table from few files enough partitions for an iterative fit.
+
+    Larger inputs already have many partitions and are not shuffled.
+    """
+    return df.repartition(parts, "row_id") if n_rows <= small else df
+
+
 def fixed_layout(df: DataFrame, n_rows: int) -> DataFrame:
     """Hash-partition by key into a count that depends on the row count only.
 

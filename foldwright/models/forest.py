@@ -10,6 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwright.models.arrays import spread
 from foldwright.models.linear import VectorModel
 from foldwright.operators.columns import TARGET
 
@@ -33,7 +34,7 @@ class RandomForest:
             maxDepth=min(self.max_depth, 30), minInstancesPerNode=self.min_samples_leaf,
             featureSubsetStrategy=subset, maxBins=64, cacheNodeIds=False,
         )
-        vectors = train.select(
+        vectors = spread(train, train.count()).select(
             F.col(TARGET).cast("double").alias("label"), array_to_vector("features").alias("_v"))
         if self.task == "classification":
             return VectorModel(RandomForestClassifier(**common).fit(vectors), "random_forest")

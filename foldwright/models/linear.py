@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.models.arrays import matrix, vector
+from foldwright.models.arrays import matrix, spread, vector
 from foldwright.operators.columns import TARGET
 
 _FLAT_SUM_LIMIT = 200
@@ -211,11 +211,12 @@ class Logistic:
     tol: float = 1e-6
 
     def fit(self, train: DataFrame) -> VectorModel:
-        vectors = train.select(
+        n = train.count()
+        # Few, large partitions: an iteration over a small table is all task overhead.
+        vectors = spread(train, n, parts=1 + n // 200_000).select(
             F.col(TARGET).cast("double").alias("label"), array_to_vector("features").alias("_v")
         ).persist()
         try:
-            n = vectors.count()
             model = LogisticRegression(
                 featuresCol="_v",
                 regParam=1.0 / (self.C * n),

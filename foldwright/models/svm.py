@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.models.arrays import list_column, matrix, with_computed
+from foldwright.models.arrays import list_column, matrix, spread, with_computed
 from foldwright.models.linear import Ridge, class_predictions, linear_expression
 from foldwright.operators.columns import TARGET
 
@@ -62,9 +62,9 @@ class KernelMachine:
         if self.task == "regression":
             model = Ridge(alpha=1.0 / self.C).fit(mapped)
             return KernelModel(self.task, spec, [list(model.coefficients)], [])
-        data = mapped.select(TARGET, array_to_vector("features").alias("v")).persist()
+        n = train.count()
+        data = spread(mapped, n, parts=4).select(TARGET, array_to_vector("features").alias("v")).persist()
         try:
-            n = data.count()
             wanted = [1] if self.classes == 2 else range(self.classes)
             margins, sigmoids = [], []
             for c in wanted:

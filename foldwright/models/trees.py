@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.models.arrays import list_column, matrix, vector, with_computed
+from foldwright.models.arrays import list_column, matrix, spread, vector, with_computed
 from foldwright.models.linear import class_predictions
 from foldwright.operators.columns import TARGET
 from foldwright.session import cut_lineage
@@ -174,7 +174,7 @@ class Booster:
     def fit(self, train: DataFrame) -> BoosterModel:
         width = len(train.select("features").first()[0])
         edges = bin_edges(train, width, self.max_bins)
-        data = binned(train, edges).persist()
+        data = binned(spread(train, train.count()), edges).persist()
         try:
             base = self._base(data)
             state = data.withColumn("raw", F.array(*[F.lit(b) for b in base]))
@@ -434,7 +434,7 @@ class ExtraTrees:
     def fit(self, train: DataFrame) -> ExtraTreesModel:
         width = len(train.select("features").first()[0])
         edges = bin_edges(train, width, self.max_bins)
-        data = binned(train, edges).persist()
+        data = binned(spread(train, train.count()), edges).persist()
         try:
             outputs = self.classes if self.task == "classification" else 1
             root = self._root(data, outputs)

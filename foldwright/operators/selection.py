@@ -111,7 +111,7 @@ def by_l1(df: DataFrame, task: str) -> list[int]:
     if task == "regression":
         w = np.abs(np.asarray(Lasso(LASSO_ALPHA).fit(df).coefficients[1:]))
     else:
-        model = Logistic(C=LOGISTIC_C, l1=True, max_iter=60, tol=1e-4).fit(df).model
+        model = Logistic(C=LOGISTIC_C, l1=True).fit(df).model
         w = np.abs(model.coefficientMatrix.toArray()).sum(axis=0)
     return [int(i) for i in np.flatnonzero(w > COEFFICIENT_FLOOR)]
 
