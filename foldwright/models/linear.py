@@ -1,4 +1,4 @@
-"""Linear models: ridge and lasso from one Gram aggregate, logistic regression by MLlib."""
+"""Linear models: ridge and lasso from one Gram aggregate; MLlib classifiers."""
 
 from __future__ import annotations
 
@@ -202,8 +202,8 @@ class VectorModel:
 
 
 @dataclass
-class Logistic:
-    """Penalised logistic regression with strength C, as regParam = 1 / (C n)."""
+class MLlibLogistic:
+    """Penalised logistic regression with strength C, as regParam = 1 / (C n), for wide tables."""
 
     C: float = 1.0
     max_iter: int = 200

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwright.models.linear import Lasso, Logistic
+from foldwright.models.linear import Lasso
+from foldwright.models.logistic import Logistic, LogisticModel
 from foldwright.models.trees import ExtraTrees
 from foldwright.operators.columns import TARGET
 from foldwright.operators.ordering import quantile_table
@@ -106,13 +107,16 @@ def by_information(df: DataFrame, task: str, percentile: int = 50) -> list[int]:
     return sorted(varying[r["feature"]] for r in kept)
 
 
-def by_l1(df: DataFrame, task: str) -> list[int]:
+def by_l1(df: DataFrame, task: str, classes: int = 2) -> list[int]:
     """Positions with a non-zero coefficient of an L1-penalised linear model."""
     if task == "regression":
         w = np.abs(np.asarray(Lasso(LASSO_ALPHA).fit(df).coefficients[1:]))
     else:
-        model = Logistic(C=LOGISTIC_C, l1=True).fit(df).model
-        w = np.abs(model.coefficientMatrix.toArray()).sum(axis=0)
+        fitted = Logistic(C=LOGISTIC_C, classes=classes, l1=True).fit(df)
+        w = (
+            fitted.magnitudes if isinstance(fitted, LogisticModel)
+            else np.abs(fitted.model.coefficientMatrix.toArray()).sum(axis=0)
+        )
     return [int(i) for i in np.flatnonzero(w > COEFFICIENT_FLOOR)]
 
 
@@ -155,7 +159,7 @@ def select_features(
     if strategy == "filter":
         kept = by_information(df, task, percentile)
     elif strategy == "l1":
-        kept = by_l1(df, task)
+        kept = by_l1(df, task, classes)
     elif strategy == "tree":
         kept = by_tree(df, task, classes, seed)
     elif strategy == "rfe":

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foldwright.models.forest import ForestRegression
 from foldwright.models.linear import LinearModel, VectorModel
+from foldwright.models.logistic import LogisticModel
 from foldwright.models.mlp import MLPModel, Shape
 from foldwright.models.neighbours import KNN, KNNModel
 from foldwright.models.sgd import SGDModel
@@ -106,6 +107,8 @@ def _model(spark: SparkSession, path: str, m: dict):
     kind = m["kind"]
     if kind == "linear":
         return LinearModel(m["coefficients"])
+    if kind == "newton_logistic":
+        return LogisticModel(m["weights"])
     if kind == "logistic":
         return VectorModel(LogisticRegressionModel.load(f"{path}/mllib"), kind)
     if kind == "random_forest":
