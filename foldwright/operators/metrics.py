@@ -73,7 +73,9 @@ def roc_auc(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     ranked = prefix_sums(counts, [*keys, "class"], "score", ["pos", "neg"])
     won = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)
     per_class = ranked.groupBy(*keys, "class").agg(
-        (F.sum(won) / (F.max("total_pos").cast("double") * F.max("total_neg"))).alias("auc")
+        F.try_divide(
+            F.sum(won), F.max("total_pos").cast("double") * F.max("total_neg")
+        ).alias("auc")
     )
     return per_class.groupBy(*keys).agg(F.avg("auc").alias("roc_auc"))
 

@@ -101,7 +101,7 @@ def wilcoxon_statistics(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.coalesce("r_total", F.lit(0.0)).alias("r_total"),
             F.coalesce("tie_term", F.lit(0)).alias("tie_term"),
             F.when(all_close, 0.0)
-            .otherwise(2 * F.col("r_plus") / F.col("r_total") - 1)
+            .otherwise(F.try_divide(2 * F.col("r_plus"), F.col("r_total")) - 1)
             .alias("effect_size"),
         )
     )
@@ -112,7 +112,7 @@ def normal_p(stats: DataFrame) -> DataFrame:
     n = F.col("n_used")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
     smaller = F.least("r_plus", F.col("r_total") - F.col("r_plus"))
-    z = (smaller - n * (n + 1) / 4) / F.sqrt(variance)
+    z = F.try_divide(smaller - n * (n + 1) / 4, F.sqrt(variance))
     return (
         stats.withColumn("_z", z)
         .withColumn(

@@ -154,7 +154,7 @@ def batch_moments(batch: DataFrame, numeric: list[str]) -> DataFrame:
 def merged_traits(parts: DataFrame) -> DataFrame:
     """Shift every batch's central sums to the overall mean and add them up."""
     whole = parts.groupBy("feature").agg(
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("center")
+        F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("center")
     )
     d = F.coalesce(F.col("mean"), F.col("center")) - F.col("center")
     n, m2, m3 = F.col("n"), F.coalesce("m2", F.lit(0.0)), F.col("m3")
@@ -168,8 +168,8 @@ def merged_traits(parts: DataFrame) -> DataFrame:
         F.sum(m3 + 3 * d * m2 + n * d * d * d).alias("s3"),
     )
     size = F.col("n")
-    variance = F.col("s2") / size
-    g1 = (F.col("s3") / size) / F.pow(F.nullif(variance, F.lit(0.0)), F.lit(1.5))
+    variance = F.try_divide(F.col("s2"), size)
+    g1 = F.try_divide(F.col("s3"), size) / F.pow(F.nullif(variance, F.lit(0.0)), F.lit(1.5))
     factor = F.sqrt(size * (size - 1)) / (size - 2)
     return sums.select(
         "feature", "n", "nulls", "mean", variance.alias("variance"),
