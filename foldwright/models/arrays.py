@@ -12,8 +12,13 @@ from pyspark.sql import types as T
 
 
 def matrix(batch: pa.RecordBatch, name: str = "features", dtype=float) -> np.ndarray:
-    """A list column as an n x d matrix."""
+    """A list column, or packed cells, as an n x d matrix."""
     column = batch.column(batch.schema.get_field_index(name))
+    if pa.types.is_binary(column.type):
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + batch.num_rows + 1]
+        cells = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]]
+        return cells.view(dtype).reshape(batch.num_rows, -1 if batch.num_rows else 0)
     values = column.flatten().to_numpy(zero_copy_only=False)
     return np.asarray(values, dtype=dtype).reshape(batch.num_rows, -1 if batch.num_rows else 0)
 
@@ -30,6 +35,15 @@ def list_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
 
 
+def packed_column(values: np.ndarray) -> pa.Array:
+    """An n x d matrix as one binary cell per row: cheap to move between JVM and Python."""
+    n = len(values)
+    width = values.dtype.itemsize * values.shape[1]
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    data = np.ascontiguousarray(values)
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def with_computed(
     df: DataFrame,
     compute: Callable[[pa.RecordBatch], dict[str, pa.Array]],

@@ -20,7 +20,7 @@ from foldwright.models.linear import MLlibLogistic, class_predictions, linear_ex
 from foldwright.operators.columns import TARGET
 
 NEWTON_LIMIT = 400  # parameters; the curvature matrix has the square of it
-_ROWS_PER_PART = 200_000
+_ROWS_PER_PART = 50_000
 
 
 def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:

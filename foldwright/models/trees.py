@@ -18,7 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.models.arrays import list_column, matrix, spread, vector, with_computed
+from foldwright.models.arrays import (
+    list_column,
+    matrix,
+    packed_column,
+    spread,
+    vector,
+    with_computed,
+)
 from foldwright.models.linear import class_predictions
 from foldwright.operators.columns import TARGET
 from foldwright.session import cut_lineage
@@ -90,16 +97,14 @@ def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 
 def binned(df: DataFrame, edges: list[list[float]]) -> DataFrame:
-    """row_id, target, row hash and the bin array."""
+    """row_id, target, row hash and the packed bins (int16 per feature)."""
     arrays = [np.asarray(e) for e in edges]
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"bins": list_column(to_bins(matrix(batch), arrays))}
+        return {"bins": packed_column(to_bins(matrix(batch), arrays))}
 
     base = df.select("row_id", F.col(TARGET).cast("double").alias(TARGET), "features")
-    out = with_computed(
-        base, compute, [T.StructField("bins", T.ArrayType(T.ShortType()))], drop=["features"]
-    )
+    out = with_computed(base, compute, [T.StructField("bins", T.BinaryType())], drop=["features"])
     return out.withColumn("row_hash", F.xxhash64("row_id"))
 
 
@@ -295,7 +300,7 @@ class Booster:
             f"AND hl >= {self.min_child_weight!r}D AND h - hl >= {self.min_child_weight!r}D"
         )
         best = (
-            state.mapInArrow(
+            state.select(TARGET, "bins", "row_hash", "raw").mapInArrow(
                 partial, "k int, node int, feature int, bin int, g double, h double, n double"
             )
             .repartition("k", "node", "feature")
@@ -469,7 +474,7 @@ class ExtraTrees:
             for t, nodes in enumerate(active)
             for node in nodes
         }
-        ranges = data.mapInArrow(
+        ranges = data.select(TARGET, "bins").mapInArrow(
             _range_partials(trees, active, chosen), "t int, node int, feature int, lo int, hi int"
         ).groupBy("t", "node", "feature").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("hi > lo")
         cuts: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -480,7 +485,7 @@ class ExtraTrees:
             cuts.setdefault((r["t"], r["node"]), []).append((r["feature"], cut))
         if not cuts:
             return [[] for _ in trees]
-        sides = data.mapInArrow(
+        sides = data.select(TARGET, "bins").mapInArrow(
             _side_partials(trees, active, cuts, self.task, outputs, shift),
             "t int, node int, feature int, cut int, c int, ls double, s double, ln double, n double",
         )

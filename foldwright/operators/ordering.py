@@ -107,10 +107,20 @@ def _with_value_bucket(
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*group).agg(F.percentile_approx(value, cuts, 2000).alias("_cuts"))
     joined = counts.join(F.broadcast(bounds), list(group))
-    return joined.withColumn(
-        "_bucket",
-        F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (c < F.col(value)).cast("int")),
-    ).drop("_cuts")
+    return joined.withColumn("_bucket", cuts_below(F.col("_cuts"), F.col(value), buckets - 1)).drop("_cuts")
+
+
+def cuts_below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the sorted cut points (at most ``most``) lie below the value, by bisection."""
+    strides = [1]
+    while sum(strides) < most:
+        strides.insert(0, strides[0] * 2)
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in strides]),
+        F.lit(0),
+        lambda at, stride: at
+        + F.when(F.get(cuts, at + stride - 1) < value, stride).otherwise(0),
+    )
 
 
 def _bucket_starts(

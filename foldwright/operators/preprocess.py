@@ -157,7 +157,10 @@ def numeric_parameters(
 def _with_imputed_mass(
     counts: DataFrame, params: list[dict[str, NumericParams]], numeric: Sequence[str]
 ) -> DataFrame:
-    """Count the filled-in cells as values too: scalers are fitted after imputation."""
+    """Count the filled-in cells as values too: scalers are fitted after imputation.
+
+    The added rows may repeat a value that is there already; quantiles do not mind.
+    """
     rows = []
     for c in numeric:
         for s, fitted in enumerate(params):
@@ -167,9 +170,7 @@ def _with_imputed_mass(
     if not rows:
         return counts
     added = counts.sparkSession.createDataFrame(rows, counts.schema)
-    return counts.unionByName(added).groupBy("feature", "value").agg(
-        *[F.sum(f"w{s}").alias(f"w{s}") for s in range(len(params))]
-    )
+    return counts.unionByName(added)
 
 
 def fold_parameter_table(

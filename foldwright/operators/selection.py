@@ -12,7 +12,7 @@ from foldwright.models.linear import Lasso
 from foldwright.models.logistic import Logistic, LogisticModel
 from foldwright.models.trees import ExtraTrees
 from foldwright.operators.columns import TARGET
-from foldwright.operators.ordering import quantile_table
+from foldwright.operators.ordering import cuts_below, quantile_table
 
 STRATEGIES = ("none", "filter", "l1", "tree", "rfe")
 MI_BINS = 32
@@ -45,10 +45,6 @@ def nonconstant(df: DataFrame) -> list[int]:
     return sorted(r["feature"] for r in rows)
 
 
-def _bin_of(value: Column, edges: Column) -> Column:
-    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + (e < value).cast("int"))
-
-
 def mutual_information(df: DataFrame, task: str, bins: int = MI_BINS) -> DataFrame:
     """(feature, mi): information between binned feature and target.
 
@@ -67,14 +63,14 @@ def mutual_information(df: DataFrame, task: str, bins: int = MI_BINS) -> DataFra
         y_edges = quantile_table(ys, ["g"], "value", ["n"], probs).agg(
             F.array_sort(F.collect_set("quantile"))
         ).first()[0]
-        y = _bin_of(F.col(TARGET).cast("double"), F.array(*[F.lit(v) for v in y_edges]))
+        y = cuts_below(F.array(*[F.lit(v) for v in y_edges]), F.col(TARGET).cast("double"), bins - 1)
     else:
         y = F.col(TARGET).cast("int")
     # One row of cut points per feature column: bounded by the schema.
     cells = (
         _long(df, y.alias("y"))
         .join(F.broadcast(edges), "feature")
-        .groupBy("feature", _bin_of(F.col("value"), F.col("edges")).alias("b"), "y")
+        .groupBy("feature", cuts_below(F.col("edges"), F.col("value"), bins - 1).alias("b"), "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # At most bins x max(bins, classes) cells per feature.
