@@ -105,25 +105,32 @@ def lasso_one_feature(spark, sf_dir):
 
 # ---------------------------------------------------------------- nearest neighbours
 
-_EMB = """e AS (SELECT cast(vec_id AS VARCHAR) AS row_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+_EMB = """e AS (SELECT cast(vec_id AS VARCHAR) AS row_id, embedding::DOUBLE[] AS v, label,
+    (row_number() OVER (ORDER BY md5('42:' || vec_id), cast(vec_id AS VARCHAR)) - 1) % 5 AS fold FROM embeddings),
   d AS (SELECT q.row_id AS query_id, t.row_id AS train_id, t.label AS y, list_distance(q.v, t.v) AS distance
-    FROM e q JOIN e t ON cast(q.row_id AS BIGINT) % 5 = 0 AND cast(t.row_id AS BIGINT) % 5 <> 0),
+    FROM e q JOIN e t ON q.fold = 0 AND t.fold <> 0),
   n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id) AS rn FROM d)"""
 
 
-def _embeddings(spark, sf_dir):
-    """Every embedding: every fifth vector is a query, the others are training rows."""
-    e = table(spark, sf_dir, "embeddings").select(
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("row_id"), F.col("embedding").cast("array<double>").alias("features"),
         F.col("label").alias(TARGET))
-    held = F.col("row_id").cast("long") % 5 == 0
-    return e.filter(~held), e.filter(held)
 
 
-@query("knn_neighbours", f"WITH {_EMB} SELECT query_id, train_id, rn, round(distance, 6) AS distance FROM n WHERE rn <= 10")
+def _embeddings(spark, sf_dir):
+    """Training and test side of the first outer fold over all embeddings."""
+    return splits.fold_sides(splits.kfold(_vectors(spark, sf_dir), 42, "regression"), 0)
+
+
+@query("knn_neighbours", """WITH e AS (SELECT cast(vec_id AS VARCHAR) AS row_id, embedding::DOUBLE[] AS v FROM embeddings),
+  n AS (SELECT q.row_id AS query_id, t.row_id AS train_id, list_distance(q.v, t.v) AS distance FROM e q, e t)
+  SELECT query_id, train_id, rn, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+    ORDER BY distance, train_id) AS rn FROM n) WHERE rn <= 10""")
 def knn_neighbours(spark, sf_dir):
-    train, queries = _embeddings(spark, sf_dir)
-    out = neighbours.neighbour_table(train, queries, 10, block_rows=500)
+    """The ten nearest vectors of every vector, itself included."""
+    vectors = _vectors(spark, sf_dir)
+    out = neighbours.neighbour_table(vectors, vectors, 10, block_rows=500)
     return out.select("query_id", "train_id", F.col("rn").cast("long").alias("rn"), F.round("distance", 6).alias("distance"))
 
 

@@ -186,12 +186,12 @@ def preprocess_full(spark, sf_dir):
                       ones.alias("ones"), at(6).alias("flag_r"), at(8).alias("status_o"))
 
 
-@query("category_lookup_unseen", with_cte("event_skew", extra="""tr AS (SELECT * FROM event_skew
-    WHERE cast(row_id AS BIGINT) % 3 > 0 AND props <> '{"k": 7}'),
+@query("category_lookup_unseen", with_cte("event_skew", extra="""f AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || row_id),
+    row_id) - 1) % 5 AS fold FROM event_skew), tr AS (SELECT * FROM f WHERE fold <> 0 AND props <> '{"k": 7}'),
   k AS (SELECT props, cast(dense_rank() OVER (ORDER BY props) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT props FROM tr))""")
   + "SELECT row_id, coalesce(code, -1) AS code FROM event_skew LEFT JOIN k USING (props)")
 def category_lookup_unseen(spark, sf_dir):
     df = dataset(spark, sf_dir, "event_skew").df.select("row_id", TARGET, "props")
-    train = df.filter((F.col("row_id").cast("long") % 3 > 0) & (F.col("props") != '{"k": 7}'))
+    train = splits.fold_sides(splits.kfold(df, 42, "regression"), 0)[0].filter(F.col("props") != '{"k": 7}')
     prep = preprocess.Preprocessor([], ["props"], "classification", cat_encoder="ordinal")
     return prep.fit(train).transform(df).select("row_id", F.get("features", F.lit(0)).alias("code"))

@@ -152,7 +152,7 @@ def interval_gaussian(spark, sf_dir):
     s = ev.groupBy("event_type").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"))
     # Five event types: the per-type row is tiny by nature of the column.
     bounds = metrics.gaussian_interval(s)
-    joined = ev.join(bounds, "event_type")
+    joined = ev.join(F.broadcast(bounds), "event_type")
     return _r(metrics.interval_metrics(joined, ["event_type"]), "picp_80", "mpiw_80_norm")
 
 

@@ -189,3 +189,20 @@ def test_streamed_training_uses_every_batch(spark, sf_dir):
     assert spark.read.parquet(path).select("batch_id").distinct().count() == 3
     acc = model.predict(rows).agg(F.avg((F.col("pred") == F.col(TARGET)).cast("double"))).first()[0]
     assert acc > 0.8
+
+
+def test_large_tier_rungs_and_stop_rules(spark, sf_dir):
+    rows = encode_target(dataset(spark, sf_dir, "line_cls").df, "classification").withColumn("fold", F.lit(-1))
+    _, pairs, kind = experiment._rungs(rows, "classification", 42, 1)
+    n = rows.count()
+    sizes = [(a.count(), b.count()) for a, b in pairs]
+    assert kind == "last" and sizes[1][0] + sizes[1][1] == n and sizes[0][1] == sizes[1][1]
+    assert sizes[0][0] == sizes[1][0] // 4
+    reports = {t: [v, v + 0.1] for t, v in enumerate([0.1, 0.2, 0.3, 0.4, 0.05, 0.35])}
+    steps = spark.createDataFrame([("s", t, i, v) for t, r in reports.items() for i, v in enumerate(r)],
+                                  "study string, trial int, step int, reported double")
+    marked = {(r["trial"], r["step"]): bool(r["pruned"]) for r in search.median_prune(steps, ["study"]).collect()}
+    for trial in reports:
+        seen = {t: r[:2] for t, r in reports.items() if t <= trial}
+        assert experiment._stops(trial, 1, seen, "mean") == marked[trial, 1]
+    assert not any(v for (_, step), v in marked.items() if step == 0)
