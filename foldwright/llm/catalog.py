@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwright.llm import minhash
+from foldwright.llm import decontaminate, language, minhash
 from foldwright.llm.rows import table
 from foldwright.session import ship_package
 
@@ -34,3 +34,32 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with its class of near duplicates."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+_CONTAINED_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s
+       FROM d WHERE len(w) > 0),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+isx AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s
+        FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS item_shingles FROM isx GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS shared FROM isx JOIN ds USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared::INTEGER AS shared, item_shingles::INTEGER AS item_shingles, shared / item_shingles AS containment
+FROM c JOIN n USING (item_id) WHERE shared / item_shingles >= 0.8
+"""
+
+
+@query("op10_benchmark_containment", _CONTAINED_SQL)
+def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item it contains."""
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "item_shingles", "containment")
+
+
+@query("op2_language_codes")
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
+    model = language.train(docs.where("not held_out"))
+    return language.identify(docs, model, ["doc_id", "held_out"])
