@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwright.llm import decontaminate, language, minhash, mixing
+from foldwright.llm import decontaminate, language, minhash, mixing, sharding
 from foldwright.llm.rows import table
 from foldwright.session import ship_package
 
@@ -95,3 +95,21 @@ def pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+_SHARD_SQL = """
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS k FROM documents),
+t AS (SELECT greatest(0, length(bin(greatest(sum(bytes), 1)::BIGINT // 1048576)) - 1)::BIGINT AS start FROM d),
+l AS (SELECT d.*, level, k >> (32 - level)::BIGINT AS prefix FROM d, t, range(0, 33) r(level) WHERE level >= start),
+b AS (SELECT *, sum(bytes) OVER (PARTITION BY level, prefix) AS total FROM l),
+f AS (SELECT doc_id, bytes, min(struct_pack(level := level, prefix := prefix)) AS hit FROM b WHERE total <= 1048576 GROUP BY ALL)
+SELECT doc_id, bytes, lpad(hit.level::VARCHAR, 2, '0') || '-' || hit.prefix::VARCHAR AS shard FROM f
+"""
+
+
+@query("op8_extendible_shards", _SHARD_SQL)
+def extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and size of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.assign_shards(docs, identity=["doc_id"]).select("doc_id", "shard", "bytes")

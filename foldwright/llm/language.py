@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foldwright.llm import words as W
 from foldwright.session import ship_package
@@ -211,10 +212,10 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> LanguageModel:
     return LanguageModel(languages, code, weights, middle, scale, trust)
 
 
-def _predictions(model: LanguageModel, buckets: int, limit: float):
+def _predictions(model: LanguageModel, buckets: int, limit: float, text: str, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text).to_pylist()
             pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             ambiguous = np.zeros(len(texts), bool)
             for start, part in _slices(texts):
@@ -224,26 +225,31 @@ def _predictions(model: LanguageModel, buckets: int, limit: float):
                     pred[start + at] = np.array(model.languages, object)[best]
                     score[start + at] = belief
                     ambiguous[start + at] = belief < limit
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            names = list(batch.schema.names)
-            yield pa.RecordBatch.from_arrays(
-                [c for c, n in zip(columns, names, strict=True) if n != "text"] + [pa.array(pred, pa.string()), pa.array(score), pa.array(ambiguous)],
-                names=[n for n in names if n != "text"] + ["lang_pred", "score", "ambiguous"],
-            )
+            kept = [(n, batch.column(n)) for n in keys]
+            found = [("lang_pred", pa.array(pred, pa.string())), ("score", pa.array(score)), ("ambiguous", pa.array(ambiguous))]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept + found], names=[n for n, _ in kept + found])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel, keys: list[str], buckets: int = BUCKETS, ambiguous_below: float = AMBIGUOUS_BELOW) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keys: list[str], buckets: int = BUCKETS, ambiguous_below: float = AMBIGUOUS_BELOW, text: str = "text") -> DataFrame:
     """keys plus lang_pred, score (0 to 1) and ambiguous, one row per row of docs(text, keys...).
 
     Only the text is read for a prediction. A null text or one without letters is ``und`` with score 0 and not
-    ambiguous; with an empty model every text is. Repeated rows are predicted each. An empty table gives no rows.
+    ambiguous; with an empty model every text is. Repeated rows are predicted each; keys named like a result are
+    replaced by it. An empty table gives no rows.
     """
     ship_package(docs.sparkSession)
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    picked = docs.select(*keys, "text") if "text" not in keys else docs.select(*keys)
-    return picked.mapInArrow(_predictions(model, buckets, ambiguous_below), f"{schema}, lang_pred string, score double, ambiguous boolean")
+    keys = [k for k in keys if k not in ("lang_pred", "score", "ambiguous")]
+    schema = StructType([docs.schema[k] for k in keys]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return docs.select(*dict.fromkeys([*keys, text])).mapInArrow(_predictions(model, buckets, ambiguous_below, text, keys), schema)
+
+
+def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of docs whose language is known: not ``und`` and not ambiguous. Columns of any name pass unchanged."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = identify(docs.toDF(*names), model, names, text=names[docs.columns.index("text")])
+    return found.where(f"lang_pred <> '{UNKNOWN}' and not ambiguous").select(*names).toDF(*docs.columns)
 
 
 def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
