@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwright.llm import decontaminate, language, minhash, mixing, sharding
+from foldwright.llm import decontaminate, language, minhash, mixing, sharding, warc
 from foldwright.llm.rows import table
-from foldwright.session import ship_package
+from foldwright.session import scratch_path, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,3 +113,25 @@ def extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and size of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs, identity=["doc_id"]).select("doc_id", "shard", "bytes")
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes, list_reduce(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          (((('0x' || substr(hex, (1 + 10 * (i // 8))::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31) + 1)::INTEGER, 1)),
+        lambda a, b: a || b) AS payload_digest FROM h),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM m
+"""
+
+
+@query("op9_warc_round_trip", _WARC_SQL)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
