@@ -6,8 +6,9 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldwright.llm import decontaminate, language, minhash, mixing, sharding, warc
+from foldwright.llm import decontaminate, language, minhash, mixing, sharding, topk, warc
 from foldwright.llm.rows import table
 from foldwright.session import scratch_path, ship_package
 
@@ -135,3 +136,21 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op1_nra_top_k", _TOPK_SQL)
+def nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for each hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), topk.quantized().alias("vector"))
+    queries = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return topk.exact_top_k(vectors, queries)
