@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import decontaminate, language, minhash, mixing, sharding, topk, warc
+from foldwright.llm import decontaminate, language, minhash, mixing, quality, sharding, topk, warc
 from foldwright.llm.rows import table
 from foldwright.session import scratch_path, ship_package
 
@@ -154,3 +154,11 @@ def nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), topk.quantized().alias("vector"))
     queries = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return topk.exact_top_k(vectors, queries)
+
+
+@query("op3_positive_unlabelled_quality")
+def positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language.held_out(parts=3, part=1))
+    model = quality.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, ["doc_id", "held_out"])
