@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import decontaminate, language, minhash, mixing, quality, sharding, topk, warc
+from foldwright.llm import decontaminate, language, minhash, mixing, quality, sharding, spans, topk, warc
 from foldwright.llm.rows import table
 from foldwright.session import scratch_path, ship_package
 
@@ -162,3 +162,11 @@ def positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language.held_out(parts=3, part=1))
     model = quality.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
     return quality.score(docs, model, ["doc_id", "held_out"])
+
+
+@query("op6_sentence_spans")
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's removed sentences and what is left of its text."""
+    cleaned = spans.drop_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return cleaned.select("doc_id", "sentences", F.coalesce(F.size("removed"), F.lit(0)).alias("removed_sentences"), "removed", F.length(kept).alias("kept_chars"), F.md5(kept.cast("binary")).alias("kept_md5"))
