@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import decontaminate, language, minhash, mixing, quality, sharding, spans, topk, warc
+from foldwright.llm import decontaminate, language, lines, minhash, mixing, quality, sharding, spans, topk, warc
 from foldwright.llm.rows import table
 from foldwright.session import scratch_path, ship_package
 
@@ -170,3 +170,11 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = spans.drop_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit(""))
     return cleaned.select("doc_id", "sentences", F.coalesce(F.size("removed"), F.lit(0)).alias("removed_sentences"), "removed", F.length(kept).alias("kept_chars"), F.md5(kept.cast("binary")).alias("kept_md5"))
+
+
+@query("op4_fuzzy_lines")
+def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's removed lines and what is left of its text."""
+    cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return cleaned.select("doc_id", "lines", F.coalesce(F.size("removed"), F.lit(0)).alias("removed_lines"), "removed", F.length(kept).alias("kept_chars"), F.md5(kept.cast("binary")).alias("kept_md5"))
