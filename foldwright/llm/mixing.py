@@ -63,8 +63,8 @@ def uniform(seed: int, *keys: str) -> Column:
 
 
 def _ranked(docs: DataFrame, seed: int, inclusion: str | None) -> DataFrame:
-    """docs with __size, __u, __wish and the tie-break __key; the row number in it only parts repeated rows."""
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row"))
+    """docs with __size, __u, __wish and the tie-break __key, which only repeated rows share."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
     wish = F.greatest(F.coalesce(F.col(inclusion).cast("double"), F.lit(0.0)), F.lit(1e-9)) if inclusion else F.lit(1.0)
     return docs.withColumns({"__size": word_count(), "__u": uniform(seed, "doc_id"), "__wish": wish, "__key": key})
 
@@ -88,7 +88,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     differ from its target by at most half its last drawn document, and no row has more than ``most`` copies.
     inclusion names a column of relative inclusion weights (null or not positive: hardly ever); without one all
     documents of a source have the same. A null or empty text has size 0 and adds no words; a source without words
-    has target 0. A null source is a source of its own. Repeated rows are drawn each. Other columns are kept, but
+    has target 0. A null source is a source of its own. Of repeated
+    rows among which the cut falls about the right share is drawn. Other columns are kept, but
     columns named size, source_size, target, copies or taken are replaced; an empty table gives no rows.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
@@ -113,14 +114,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     inside = _with_source(placed, crossed, few).where("__bin = cut_bin")
     order = Window.partitionBy("source").orderBy("__stat", "__key").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("__size").over(order), F.lit(0))
-    last = inside.withColumn("ahead", ahead).where("ahead + __size / 2 <= left").groupBy("source").agg(F.max(F.struct("__stat", "__key")).alias("last"))
+    fits = inside.withColumn("fits", (ahead + F.col("__size") / 2 <= F.col("left")).cast("double"))
+    # of repeated rows that the cut falls among, the share of those before it is drawn
+    ties = fits.groupBy("source", "__stat", "__key").agg(F.avg("fits").alias("share")).where("share > 0")
+    last = ties.groupBy("source").agg(F.max(F.struct("__stat", "__key", "share")).alias("last"))
     side = crossed.withColumnRenamed("source", "s").join(last, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("source"), "cut_bin", "last")
     side = targets.withColumnRenamed("source", "s").join(side, F.col("s").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("s", "source")
     side = cut_lineage(side)
 
     done = _with_source(ranked, side, few).withColumn("__stat", _statistic())
     place = F.least(F.floor(F.col("__stat") * BINS), F.lit(BINS - 1)).cast("int")
-    drawn = F.col("cut_bin").isNull() | (place < F.col("cut_bin")) | ((place == F.col("cut_bin")) & F.coalesce(F.struct("__stat", "__key") <= F.col("last"), F.lit(False)))
+    at, cut = F.struct("__stat", "__key"), F.struct(F.col("last.__stat").alias("__stat"), F.col("last.__key").alias("__key"))
+    luck = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40)) / float(1 << 40)
+    before_cut = (at < cut) | ((at == cut) & (luck < F.col("last.share")))
+    drawn = F.col("cut_bin").isNull() | (place < F.col("cut_bin")) | ((place == F.col("cut_bin")) & F.coalesce(before_cut, F.lit(False)))
     drawn = drawn & (F.col("left") > 0)
     copies = F.least(F.col("whole") + drawn.cast("long"), F.lit(most).cast("long"))
     done = done.withColumns({"size": F.col("__size"), "copies": copies, "taken": copies * F.col("__size")})
