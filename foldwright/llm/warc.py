@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldwright.llm.rows import key_filter, with_maybe
 from foldwright.session import cut_lineage, ship_package
 
 MAGIC = "WARC/1.0\r\n"
@@ -49,7 +50,12 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = rows.withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("payload_digest", base32_sha1(payload))
     originals = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("copies"))
     originals = cut_lineage(originals.where("copies > 1").select("payload_digest", "payload_bytes", "original"))
-    joined = rows.join(originals, ["payload_digest", "payload_bytes"], "left")
+    # only pages that may have copies are shuffled with their payload
+    key = F.xxhash64("payload_digest", "payload_bytes")
+    marked = with_maybe(rows, key, key_filter(originals.select(key.alias("key"))))
+    single = marked.where("not __maybe").withColumn("original", F.lit(None).cast("long"))
+    joined = marked.where("__maybe").join(originals, ["payload_digest", "payload_bytes"], "left")
+    joined = joined.unionByName(single).drop("__maybe")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("original"))).drop("original")
 
