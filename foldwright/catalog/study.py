@@ -152,15 +152,17 @@ def search_space(spark, sf_dir):
 
 
 @query("sampled_trials", with_cte(*NAMES, extra=f"""{MEASURED}, {_SPACE}, {_TARGETS},
-  d AS (SELECT dataset, model, param, depends_on, depends_value, trial, kind, choices, cast(low AS DOUBLE) AS low, cast(high AS DOUBLE) AS high,
+  d AS MATERIALIZED (SELECT dataset, model, param, depends_on, depends_value, trial, kind, choices, cast(low AS DOUBLE) AS low, cast(high AS DOUBLE) AS high,
     cast(step AS DOUBLE) AS step, cast(('0x' || substr(md5('7:' || trial || ':' || param), 1, 7)) AS BIGINT) / 268435456e0 AS u
     FROM fit, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS trial)),
-  v AS (SELECT *, CASE kind WHEN 'categorical' THEN choices[cast(floor(u * len(choices)) AS INTEGER) + 1]
+  v AS MATERIALIZED (SELECT *, CASE kind WHEN 'categorical' THEN choices[cast(floor(u * len(choices)) AS INTEGER) + 1]
     WHEN 'int' THEN cast(cast(low + step * floor(u * (floor((high - low) / step) + 1)) AS BIGINT) AS VARCHAR)
     WHEN 'fixed' THEN cast(cast(low AS BIGINT) AS VARCHAR) END AS value,
     CASE kind WHEN 'log' THEN exp(ln(low) + u * (ln(high) - ln(low))) WHEN 'float' THEN low + u * (high - low) END AS number FROM d)""")
-  + """SELECT a.dataset, a.model, a.trial, a.param, a.value, round(a.number, 6) AS number FROM v a WHERE depends_on IS NULL OR EXISTS (
-  SELECT 1 FROM v b WHERE b.dataset = a.dataset AND b.model = a.model AND b.trial = a.trial AND b.param = a.depends_on AND b.value = a.depends_value)""")
+  + """SELECT a.dataset, a.model, a.trial, a.param, a.value, round(a.number, 6) AS number
+  FROM v a LEFT JOIN (SELECT DISTINCT dataset, model, trial, param, value FROM v) b
+    ON b.dataset = a.dataset AND b.model = a.model AND b.trial = a.trial AND b.param = a.depends_on AND b.value = a.depends_value
+  WHERE a.depends_on IS NULL OR b.param IS NOT NULL""")
 def sampled_trials(spark, sf_dir):
     space = _space(spark, sf_dir)
     values = search.sample_values(space, 6, 7)

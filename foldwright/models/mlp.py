@@ -205,8 +205,27 @@ class MLP:
                 if waited >= self.patience:
                     break
             started = (w, stats)
+        if early and self._validation_loss(data, shape, mean, std, w, stats, parts) < best_loss - IMPROVEMENT:
+            best, best_loss = (w, stats), 0.0
         return best if early and np.isfinite(best_loss) else (w, stats)
 
+    def _validation_loss(self, data, shape, mean, std, w, stats, parts) -> float:
+        task = self.task
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = loss = 0.0
+            for b in batches:
+                held = vector(b, "validation", bool)
+                if held.any():
+                    out = forward(shape, shape.unpack(w), stats, matrix(b)[held])[0]
+                    loss += _loss(task, out, ((vector(b, TARGET) - mean) / std)[held])[0]
+                    n += held.sum()
+            if n:
+                yield pa.RecordBatch.from_arrays([list_column(np.array([[n, loss]]))], ["sums"])
+
+        total = summed_vectors(data.mapInArrow(run, "sums array<double>"), parts)
+        return np.inf if total is None else total[0][1] / total[0][0]
+
     def _epoch(self, data, shape, mean, std, state, rate, epoch, parts):
         task, batch, decay, seed = self.task, self.batch_size, self.weight_decay, self.seed
         w0, m0, v0, stats0, step0 = state
@@ -215,6 +234,21 @@ class MLP:
             w, m, v, stats, step = w0.copy(), m0.copy(), v0.copy(), stats0.copy(), step0
             n = n_val = loss_val = 0.0
             rng = None
+            # rows short of a mini-batch wait for the next Arrow batch; the last ones are a smaller mini-batch
+            wait_x, wait_y = None, None
+
+            def train_on(x, y):
+                nonlocal w, m, v, stats, step
+                p = shape.unpack(w)
+                masks = dropout_masks(shape, len(y), rng)
+                out, last, cache, stats = forward(shape, p, stats, x, masks, True)
+                grad = backward(shape, p, last, cache, masks, _loss(task, out, y)[1] / len(y))
+                step += 1
+                m = _B1 * m + (1 - _B1) * grad
+                v = _B2 * v + (1 - _B2) * grad * grad
+                move = (m / (1 - _B1**step)) / (np.sqrt(v / (1 - _B2**step)) + _EPS)
+                w = w - rate * (move + decay * w)
+
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -229,22 +263,17 @@ class MLP:
                     # The fixed layout makes the first key a stable name of the partition.
                     first = str(b.column(0)[0].as_py()).encode()
                     rng = np.random.default_rng([seed, epoch, *first])
-                order = rng.permutation(len(y))
-                size = min(batch, len(y)) or 1
-                for start in range(0, len(y), size):
-                    take = order[start : start + size]
-                    if len(take) < size and len(y) > size:
-                        break
-                    p = shape.unpack(w)
-                    masks = dropout_masks(shape, len(take), rng)
-                    out, last, cache, stats = forward(shape, p, stats, x[take], masks, True)
-                    grad = backward(shape, p, last, cache, masks, _loss(task, out, y[take])[1] / len(take))
-                    step += 1
-                    m = _B1 * m + (1 - _B1) * grad
-                    v = _B2 * v + (1 - _B2) * grad * grad
-                    move = (m / (1 - _B1**step)) / (np.sqrt(v / (1 - _B2**step)) + _EPS)
-                    w = w - rate * (move + decay * w)
                 n += len(y)
+                order = rng.permutation(len(y))
+                x, y = x[order], y[order]
+                if wait_x is not None:
+                    x, y = np.concatenate([wait_x, x]), np.concatenate([wait_y, y])
+                whole = len(y) // batch * batch
+                for start in range(0, whole, batch):
+                    train_on(x[start : start + batch], y[start : start + batch])
+                wait_x, wait_y = x[whole:], y[whole:]
+            if wait_y is not None and len(wait_y):
+                train_on(wait_x, wait_y)
             if n or n_val:
                 row = np.concatenate([[n, n_val, loss_val, n * step], n * w, n * m, n * v, n * stats])
                 yield pa.RecordBatch.from_arrays([list_column(row[None, :])], ["sums"])

@@ -148,7 +148,7 @@ def paired_wilcoxon(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(enough, p).alias("p_value"),
         F.when(enough, F.col("effect_size")).alias("effect_size"),
         F.when(enough, significant(p)).alias("significant"),
-        F.when(~enough, F.lit(f"needs >= {MIN_PAIRS} paired observations")).alias("note"),
+        F.when(~enough, F.lit(f"too few pairs to test: at least {MIN_PAIRS} are wanted")).alias("note"),
     )
 
 
@@ -242,7 +242,7 @@ def friedman(
         significant(F.col("p_value")).alias("significant"),
         F.when(
             ~enough,
-            F.format_string("needs >= 3 blocks and >= 3 treatments (have %d and %d)", n, k),
+            F.format_string("%d blocks of %d treatments are too few to test: three of each are wanted", n, k),
         ).alias("note"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
@@ -15,16 +16,21 @@ from foldwright.sources.runstore import RunStore
 DETAIL_LIMIT = 300
 
 
-def plan(
-    sweep: DataFrame, registry: DataFrame, finished: DataFrame, data_variant: str
-) -> DataFrame:
-    """Sweep grid with gating reason and whether each run is already finished."""
+def plan(sweep: DataFrame, registry: DataFrame, finished: DataFrame) -> DataFrame:
+    """Sweep grid with gating reason, data variant and whether each run is already finished.
+
+    A dataset with ``local_subset_rows`` runs on that subset unless the sweep asks for full data.
+    """
     spark = sweep.sparkSession
-    gated = config.gate(config.sweep_grid(sweep), registry, config.model_limits(spark)).withColumn(
-        "data_variant", F.lit(data_variant)
-    )
-    done = finished.select(*config.RESUME_KEYS).distinct().withColumn("existing", F.lit(True))
-    return gated.join(done, list(config.RESUME_KEYS), "left").withColumn(
+    has_subset = F.col("local_subset_rows").isNotNull() if "local_subset_rows" in registry.columns else F.lit(False)
+    subsets = registry.select(F.col("name").alias("dataset"), has_subset.alias("has_subset"))
+    gated = config.gate(config.sweep_grid(sweep), registry, config.model_limits(spark)).join(subsets, "dataset")
+    gated = gated.withColumn(
+        "data_variant", F.when(F.col("has_subset") & ~F.col("full_data"), "local_subset").otherwise("full")
+    ).drop("has_subset")
+    keys = list(config.RESUME_KEYS)
+    done = config.already_done(gated, finished).select(*keys).distinct().withColumn("existing", F.lit(True))
+    return gated.join(done, keys, "left").withColumn(
         "status",
         F.when(F.col("reason").isNotNull(), "skipped_gated")
         .when(F.col("existing"), "skipped_existing")
@@ -35,7 +41,7 @@ def plan(
 def run_benchmark(
     sweep: DataFrame,
     registry: DataFrame,
-    load: Callable[[str], Dataset],
+    load: Callable[..., Dataset],
     store: RunStore,
     expert: DataFrame | None = None,
     budget: Mapping[str, int] | None = None,
@@ -44,11 +50,13 @@ def run_benchmark(
     """Outcome rows of a sweep. A failing run becomes a ``failed`` row and the sweep goes on.
 
     The plan has one row per run; the driver walks it, since every run is itself
-    a sequence of Spark jobs.
+    a sequence of Spark jobs. ``load`` gets the dataset's name and, if it takes a
+    second argument, whether the sweep asks for full data.
     """
     spark = sweep.sparkSession
     expert = config.expert_params(spark) if expert is None else expert
-    planned = plan(sweep, registry, store.finished_keys(), "full").persist()
+    planned = plan(sweep, registry, store.finished_keys()).persist()
+    takes_variant = len(inspect.signature(load).parameters) > 1
     params: dict[tuple[str, str], dict[str, str]] = {}
     for r in config.resolve_expert(expert, planned).collect():
         params.setdefault((r["dataset"], r["model"]), {})[r["param"]] = r["value"]
@@ -60,7 +68,7 @@ def run_benchmark(
             fixed = params.get((r["dataset"], r["model"]), {}) if r["mode"] == "baseline_expert" else {}
             try:
                 run_experiment(
-                    load(r["dataset"]), r["model"], r["seed"], r["budget_profile"], mode, fixed, store,
+                    load(r["dataset"], *([r["full_data"]] if takes_variant else [])), r["model"], r["seed"], r["budget_profile"], mode, fixed, store,
                     budget, {"benchmark_mode": r["mode"], "benchmark": r["name"]}, measure_cost,
                 )
                 status = "completed"

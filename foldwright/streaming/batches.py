@@ -55,35 +55,43 @@ def batch_totals(stream: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def partial_fit_stream(stream: DataFrame, model: SGD, path: str | None = None) -> SGDModel:
+def partial_fit_stream(
+    stream: DataFrame, model: SGD, path: str | None = None, checkpoint: str | None = None
+) -> SGDModel:
     """Out-of-core training: one weighted update per micro-batch.
 
     Micro-batches have row_id, __target__ and features. The weights after each
-    batch are stored under its id, and batch b starts from those of b - 1.
+    batch are stored under its id, and a batch starts from the latest weights
+    stored under a smaller one, so empty batches, replays and restarts with the
+    same path and checkpoint continue the same training.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, "weights")
-    schema = "steps double, outputs int, weights array<double>"
+    stored = "steps double, outputs int, weights array<double>"
 
-    def load(batch_id: int) -> SGDState | None:
-        if batch_id < 0:
-            return None
-        r = spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id}").first()
-        return SGDState(np.asarray(r["weights"]).reshape(r["outputs"], -1), r["steps"])
+    def load(below: int | None = None) -> SGDState | None:
+        rows = spark.read.schema(f"{stored}, batch_id int").option("basePath", path).parquet(f"{path}/batch_id=*")
+        if below is not None:
+            rows = rows.where(F.col("batch_id") < below)
+        r = rows.orderBy(F.desc("batch_id")).first()
+        return None if r is None else SGDState(np.asarray(r["weights"]).reshape(r["outputs"], -1), r["steps"])
 
-    last = {"id": -1}
+    def save(state: SGDState, batch_id: int) -> None:
+        row = [(float(state.steps), state.weights.shape[0], [float(v) for v in state.weights.reshape(-1)])]
+        spark.createDataFrame(row, stored).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    # an empty table, so that the folder can be read before the first batch
+    spark.createDataFrame([], stored).write.mode("overwrite").parquet(f"{path}/batch_id=-1")
 
     def update(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        state = model.partial_fit(batch.persist(), load(last["id"] if last["id"] < batch_id else batch_id - 1))
+        state = model.partial_fit(batch.persist(), load(batch_id))
         batch.unpersist()
-        row = [(float(state.steps), state.weights.shape[0], [float(v) for v in state.weights.reshape(-1)])]
-        spark.createDataFrame(row, schema).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        last["id"] = batch_id
+        save(state, batch_id)
 
-    for_each_batch(stream, update)
-    return SGDModel(model.task, load(last["id"]).weights)
+    for_each_batch(stream, update, checkpoint)
+    return SGDModel(model.task, load().weights)
 
 
 def score_stream(
