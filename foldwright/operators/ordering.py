@@ -25,8 +25,11 @@ def seeded_hash(seed: int, key: str = "row_id") -> Column:
 
 
 def prefix_digits(expected_rows: int | None, rows_per_bucket: int = 250_000) -> int:
-    """Hex digits of the bucket prefix; ranks do not depend on it."""
-    digits, buckets = 2, 16**2
+    """Hex digits of the bucket prefix; ranks do not depend on it.
+
+    Without a row count there are 65,536 buckets, about 15 million rows each at 10**12 rows.
+    """
+    digits, buckets = 4, 16**4
     while expected_rows and digits < 6 and expected_rows / buckets > rows_per_bucket:
         digits, buckets = digits + 1, buckets * 16
     return digits

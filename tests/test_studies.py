@@ -1,5 +1,7 @@
 import tempfile
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,24 @@ def test_benchmark_resumes_and_survives_failures(spark, sf_dir):
     assert second == {"part_reg": "skipped_existing", "broken": "failed"}
 
 
+def test_benchmark_resumes_subset_runs(spark, sf_dir):
+    store = runstore.RunStore(spark, folder())
+    reg = spark.createDataFrame([("part_reg", "regression", "small", 100)], "name string, task string, tier string, local_subset_rows long")
+    asked = []
+
+    def load(name, full):
+        asked.append(full)
+        return replace(dataset(spark, sf_dir, name), is_subset=not full)
+
+    def statuses(full):
+        sweep = config.sweep_config(spark, "s", [1], ["part_reg"], ["linear"], ["baseline_default"], full_data=full)
+        return [r["status"] for r in benchmark.run_benchmark(sweep, reg, load, store, measure_cost=False).collect()]
+
+    assert statuses(False) == ["completed"] and statuses(False) == ["skipped_existing"]
+    assert statuses(True) == ["completed"] and statuses(True) == ["skipped_existing"]
+    assert asked == [False, True]
+
+
 def test_scaling_rows_rise(spark, sf_dir):
     out = scaling.scaling_study(dataset(spark, sf_dir, "part_reg"), ["linear"], [0.4, 1.0]).collect()
     assert [r["n_rows"] for r in out] == [64, 160]
@@ -191,6 +211,24 @@ def test_streamed_training_uses_every_batch(spark, sf_dir):
     assert acc > 0.8
 
 
+def test_streamed_training_goes_on_after_a_restart(spark, sf_dir):
+    rows = encode_target(dataset(spark, sf_dir, "line_cls").df, "classification").select(
+        "row_id", F.col(TARGET).cast("double").alias(TARGET), F.array(F.col("l_discount") * 10 - 0.5).alias("features"))
+    source, path, checkpoint = folder(), folder(), folder()
+    part = lambda k: rows.where(F.pmod(F.xxhash64("row_id"), F.lit(3)) == k).coalesce(1)
+    train = lambda: batches.partial_fit_stream(
+        batches.stream_batches(spark, source + "/*.parquet", rows.schema), SGD("classification"), path, checkpoint)
+    part(0).write.mode("append").parquet(source)
+    first = train()
+    rows.limit(0).coalesce(1).write.mode("append").parquet(source)
+    assert np.allclose(train().weights, first.weights)
+    part(1).write.mode("append").parquet(source)
+    second = train()
+    assert not np.allclose(second.weights, first.weights)
+    steps = {r["batch_id"]: r["steps"] for r in spark.read.parquet(path).collect()}
+    assert len(steps) == 2 and steps[max(steps)] > steps[min(steps)]
+
+
 def test_large_tier_rungs_and_stop_rules(spark, sf_dir):
     rows = encode_target(dataset(spark, sf_dir, "line_cls").df, "classification").withColumn("fold", F.lit(-1))
     _, pairs, kind = experiment._rungs(rows, "classification", 42, 1)
