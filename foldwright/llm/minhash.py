@@ -17,16 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.llm import words as W
-from foldwright.llm.groups import link_groups, shared_keys
-from foldwright.llm.rows import null_safe, text_hash
+from foldwright.llm.groups import block_nodes, link_groups, settled, shared_keys, width
+from foldwright.llm.rows import key_filter, null_safe, text_hash, with_maybe
 from foldwright.session import cut_lineage, ship_package
 
 REGISTERS = 256
 BAND_ROWS = 8
 SIMILARITY = 0.8
-#: The 256 lowest register bits of two texts of similarity J differ in 128 * (1 - J) places on average; this is
-#: 4.5 standard deviations above that for J = 0.8.
-MAX_BIT_DIFFERENCE = 48
+#: The lowest bits of two texts' registers differ in a share of (1 - J) / 2 on average; pairs that differ in more
+#: than so many standard deviations above that are not compared. Of links of just the threshold 3 in a million do.
+DEVIATIONS = 4.5
+FEATURE_ROWS = 4_000
 
 
 def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -123,19 +124,44 @@ def _shingle_batches(size: int):
     return run
 
 
-def _pair_batches(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for side in "ab":
-                elements, times = batch.column(f"elements_{side}"), batch.column(f"times_{side}")
-                bounds = elements.offsets.to_numpy()
-                lows, counts = elements.values.to_numpy().view(np.uint64), times.values.to_numpy().astype(np.float64)
-                shift = times.offsets.to_numpy()
-                sides.append([(lows[bounds[i] : bounds[i + 1]], counts[shift[i] : shift[i + 1]]) for i in range(batch.num_rows)])
-            similar = np.array([probability_jaccard(x, y) for x, y in zip(*sides, strict=True)])
-            keep = pa.array(similar >= threshold - 1e-12, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+def _weighted_sets(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(elements, occurrences) of each row."""
+    sets = []
+    for chunk in table.to_batches():
+        elements, times = chunk.column("elements"), chunk.column("times")
+        low, counts = elements.flatten().to_numpy().view(np.uint64), times.flatten().to_numpy().astype(np.float64)
+        sizes = elements.value_lengths().to_numpy()
+        sets += [(low[end - size : end], counts[end - size : end]) for end, size in zip(np.cumsum(sizes), sizes, strict=True)]
+    return sets
+
+
+def _block_links(threshold: float):
+    def run(pairs: pa.Table, features: pa.Table) -> pa.Table:
+        """The links among the pairs of two blocks; features has each node of them once."""
+        sets = dict(zip(features["node"].to_pylist(), _weighted_sets(features), strict=True))
+        keep = [probability_jaccard(sets[a], sets[b]) >= threshold - 1e-12 for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)]
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _search_blocks(threshold: float, most_bits: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The links between the nodes of two blocks that are of different components."""
+        nodes, comps, bits, sets = [], [], [], []
+        for side in (left, right.rename_columns([c.removeprefix("other_") for c in right.column_names])):
+            nodes.append(side["node"].to_numpy())
+            comps.append(side["comp"].to_numpy())
+            bits.append(np.stack([side[c].to_numpy() for c in side.column_names if c.startswith("bits")], axis=1))
+            sets.append(_weighted_sets(side))
+        found = []
+        for i, node in enumerate(nodes[0]):
+            differ = np.bitwise_count(bits[1] ^ bits[0][i]).sum(axis=1)
+            for j in np.flatnonzero((differ <= most_bits) & (comps[1] != comps[0][i])):
+                if probability_jaccard(sets[0][i], sets[1][j]) >= threshold - 1e-12:
+                    found.append((node, nodes[1][j]))
+        a, b = (np.array([f[k] for f in found], np.int64) for k in range(2))
+        return pa.table([np.minimum(a, b), np.maximum(a, b)], names=["a", "b"])
 
     return run
 
@@ -153,6 +179,8 @@ def near_duplicates(docs: DataFrame, registers: int = REGISTERS, band_rows: int
     spark = ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text")
     bits = registers // 64
+    apart = (1 - threshold) / 2
+    most_bits = int(registers * apart + DEVIATIONS * np.sqrt(registers * apart * (1 - apart))) + 1
     signed = cut_lineage(
         rows.mapInArrow(_signature_batches(registers, band_rows, shingle_words), "doc_id long, th long, node long, bands array<long>, bits array<long>")
     )
@@ -162,19 +190,36 @@ def near_duplicates(docs: DataFrame, registers: int = REGISTERS, band_rows: int
     chosen = signed.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("row"))
     chosen = chosen.join(members.select("node").distinct(), "node", "left_semi").select("node", "row.doc_id", "row.th")
     kept = rows.where("text is not null")
+    # a bounded filter keeps most texts that are no candidates from being shuffled
+    chosen = settled(chosen)
+    kept = with_maybe(kept, F.xxhash64("doc_id", "th"), key_filter(chosen.select(F.xxhash64("doc_id", "th").alias("key")))).where("__maybe")
     texts = kept.join(chosen, null_safe(kept, chosen, ["doc_id", "th"])).select("node", "text")
-    features = cut_lineage(texts.mapInArrow(_shingle_batches(shingle_words), "node long, elements array<long>, times array<int>").dropDuplicates(["node"]))
+    features = settled(texts.mapInArrow(_shingle_batches(shingle_words), "node long, elements array<long>, times array<int>").dropDuplicates(["node"]), FEATURE_ROWS)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = features.select(F.col("node").alias("a"), F.col("elements").alias("elements_a"), F.col("times").alias("times_a"))
-        b = features.select(F.col("node").alias("b"), F.col("elements").alias("elements_b"), F.col("times").alias("times_b"))
-        return pairs.join(a, "a").join(b, "b").mapInArrow(_pair_batches(threshold), "a long, b long")
+        few = max(width(pairs), width(features))
+        # a node's shingles travel once to each pair of blocks that it has pairs in, not once for each pair
+        keys = ["block_a", "block_b"]
+        needed = pairs.select(*keys, F.col("a").alias("node")).union(pairs.select(*keys, F.col("b").alias("node"))).distinct()
+        sets = needed.coalesce(few).toDF("low_block", "high_block", "node").join(features, "node").coalesce(few)
+        return pairs.groupBy(*keys).cogroup(sets.groupBy("low_block", "high_block")).applyInArrow(_block_links(threshold), "a long, b long")
 
     def near(left: str, right: str):
         differ = sum(F.bit_count(F.col(f"{left}.bits{i}").bitwiseXOR(F.col(f"{right}.bits{i}"))) for i in range(bits))
-        return differ <= MAX_BIT_DIFFERENCE * registers // 256
-
-    comps = link_groups(members, verify, near if threshold >= SIMILARITY else None)
+        return differ <= most_bits
+
+    def search(live: DataFrame) -> DataFrame:
+        # nodes meet block by block, so a large group's last pairs are compared in tasks and never become rows
+        near_side, far_side = block_nodes(live)
+        columns = ["node", "comp", *[f"bits{i}" for i in range(bits)]]
+        nodes = live.select(*columns).distinct().join(features, "node")
+        left = near_side.join(nodes, "node")
+        others = nodes.toDF(*[f"other_{c}" for c in nodes.columns])
+        right = far_side.toDF("low_block", "high_block", "at").join(others, F.col("at") == F.col("other_node"))
+        found = left.groupBy("block_a", "block_b").cogroup(right.groupBy("low_block", "high_block"))
+        return found.applyInArrow(_search_blocks(threshold, most_bits), "a long, b long")
+
+    comps = link_groups(members, verify, near, search)
     narrow = signed.select("doc_id", "th", "node")
     classed = cut_lineage(narrow.join(comps, "node", "left").withColumn("class_key", F.coalesce("comp", "node")).select("doc_id", "th", "class_key"))
     sizes = classed.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("low"), F.count("*").alias("size"))

@@ -270,7 +270,7 @@ def test_lines_equal_brute_force(spark):
             text.append(" ".join(words))
         rows.append((i, "\n".join([*text, "", "Page 1 of 2", " ".join(f"u{rnd.randrange(9999)}" for _ in range(9))]), "en", "a"))
     docs = table(spark, rows)
-    marked = lines.fingerprint(lines._lines(docs).withColumn("words", F.array_distinct(F.split("norm", " "))), "words").collect()
+    marked = lines.fingerprint(lines._lines(docs).withColumn("words", F.split("norm", " ")), ["doc_id", "line", "norm"], "words", "size").collect()
     want = removed_lines_by_brute_force(marked, {r.norm: r.fp % (1 << 64) for r in marked})
     out = lines.drop_repeated_lines(docs).collect()
     assert sorted((r.doc_id, x) for r in out for x in r.removed or []) == want and len(want) > 60
@@ -282,10 +282,12 @@ def test_lines_equal_brute_force(spark):
 
 def test_fingerprint_is_the_majority(spark):
     rnd = random.Random(3)
-    rows = [(i, [f"w{rnd.randrange(10**6)}" for _ in range(n)]) for i, n in enumerate((0, 1, 2, 3, 15, 16, 31, 32, 63, 64, 127, 128, 1500))]
+    rows = [(i, [f"w{i}_{k}" for k in range(n)]) for i, n in enumerate((0, 1, 2, 3, 15, 16, 63, 64, 126, 127, 128, 253, 254, 255, 1500, 32767, 32768, 70000))]
     df = spark.createDataFrame(rows, "i int, words array<string>")
     hashes = {r.i: r.h for r in df.select("i", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).collect()}
-    for r in lines.fingerprint(df, "words").collect():
+    prints = lines.fingerprint(df.union(df.where("i < 3")).withColumn("size", 2 * F.size("words")), ["i"], "words", "size").collect()
+    assert sorted(r.i for r in prints) == sorted([1, 2, *range(1, 18)])
+    for r in prints:
         want = sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in hashes[r.i]) > len(hashes[r.i]))
         assert r.fp % (1 << 64) == want
 
