@@ -270,7 +270,7 @@ def test_lines_equal_brute_force(spark):
             text.append(" ".join(words))
         rows.append((i, "\n".join([*text, "", "Page 1 of 2", " ".join(f"u{rnd.randrange(9999)}" for _ in range(9))]), "en", "a"))
     docs = table(spark, rows)
-    marked = lines.fingerprint(lines._lines(docs).withColumn("words", F.split("norm", " ")), ["doc_id", "line", "norm"], "words", "size").collect()
+    marked = lines.fingerprint(lines._lines(docs).withColumn("norm", F.array_join("words", " ")), ["doc_id", "line", "norm"], "words", "size").collect()
     want = removed_lines_by_brute_force(marked, {r.norm: r.fp % (1 << 64) for r in marked})
     out = lines.drop_repeated_lines(docs).collect()
     assert sorted((r.doc_id, x) for r in out for x in r.removed or []) == want and len(want) > 60
