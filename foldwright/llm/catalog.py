@@ -175,6 +175,6 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_fuzzy_lines")
 def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's removed lines and what is left of its text."""
-    cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
     kept = F.coalesce("text", F.lit(""))
     return cleaned.select("doc_id", "lines", F.coalesce(F.size("removed"), F.lit(0)).alias("removed_lines"), "removed", F.length(kept).alias("kept_chars"), F.md5(kept.cast("binary")).alias("kept_md5"))

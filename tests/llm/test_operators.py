@@ -280,6 +280,38 @@ def test_lines_equal_brute_force(spark):
         assert r.lines == 7
 
 
+def test_wide_search_finds_what_edit_similarity_links(spark):
+    """Recall of planted lines of 2 to 100 words against edit similarity alone; without the wide search most stay."""
+    rnd = random.Random(4)
+
+    def word():
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9)))
+
+    def typo(text):
+        at = rnd.randrange(len(text))
+        return text[:at] + rnd.choice("abcdefghijklmnopqrstuvwxyz") + text[at + 1 :]
+
+    texts = []
+    for size in (2, 5, 10, 20, 27, 40, 100):
+        for turn in range(12):
+            first = [word() for _ in range(size)]
+            other = list(first)
+            if turn % 2 or size < 10:
+                texts.append((" ".join(first), typo(" ".join(first))))
+            else:
+                for at in rnd.sample(range(size), max(1, size // (10 if turn % 4 else 20))):
+                    other[at] = word()
+                texts.append((" ".join(first), " ".join(other)))
+    rows = [(2 * i + k, t, "en", "a") for i, pair in enumerate(texts) for k, t in enumerate(pair)]
+    pairs = spark.createDataFrame([(2 * i + 1, a, b) for i, (a, b) in enumerate(texts)], "i long, a string, b string")
+    alike = "levenshtein(a, b) <= 0.2D * greatest(length(a), length(b)) + 1e-9D"
+    want = {r.i for r in pairs.where(alike).collect()}
+    removed = {wide: {r.doc_id for r in lines.drop_repeated_lines(table(spark, rows), wide=wide).collect() if r.removed} for wide in (False, True)}
+    print("planted", len(want), "narrow", len(removed[False]), "wide", len(removed[True]))
+    assert removed[True] <= want and len(want) > 75
+    assert len(removed[True]) >= 0.95 * len(want) > 2 * len(removed[False])
+
+
 def test_fingerprint_is_the_majority(spark):
     rnd = random.Random(3)
     rows = [(i, [f"w{i}_{k}" for k in range(n)]) for i, n in enumerate((0, 1, 2, 3, 15, 16, 63, 64, 126, 127, 128, 253, 254, 255, 1500, 32767, 32768, 70000))]
