@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at line ends and after full stops, question and exclamation marks before white space.
-From every sentence a span starts: the shortest run of ``run`` or more sentences with ``min_words`` words. Single
+From every sentence a span starts, and at every sentence one ends: the shortest run of ``run`` or more sentences with
+``min_words`` words. Those inside a longer run cover it from its first to its last sentence. Single
 sentences of ``long_sentence`` words are spans too, as a repeated passage may hold no more than one whole sentence.
 Spans are hashed by their words in any case and joined globally; of each repeated span the first occurrence, by
 doc_id, text and place, stays, and every sentence that another occurrence covers is removed.
@@ -75,7 +76,7 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def spans(hashes: np.ndarray, counts: np.ndarray, run: int, min_words: int, long_sentence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, sentences) of a text's spans."""
+    """(hash, first sentence, sentences) of a text's spans, each once."""
     n = len(hashes)
     if n == 0:
         return hashes, np.zeros(0, np.int32), np.zeros(0, np.int32)
@@ -83,7 +84,10 @@ def spans(hashes: np.ndarray, counts: np.ndarray, run: int, min_words: int, long
     at = np.arange(n)
     end = np.maximum(np.searchsorted(total, total[:-1] + min_words), at + run)
     fits = end <= n
-    begin, end = at[fits], end[fits]
+    back = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at + 1 - run)
+    ends = back >= 0
+    both = np.unique(np.concatenate([at[fits] * (n + 1) + end[fits], back[ends] * (n + 1) + at[ends] + 1]))
+    begin, end = np.divmod(both, n + 1)
     # hash of a run: differences of a running sum of hash * base ** place, moved back to place 0
     power, inverse = W._powers(1 << max(12, int(n).bit_length()))
     summed = np.zeros(n + 1, np.uint64)
@@ -112,8 +116,8 @@ def _span_batches(run: int, min_words: int, long_sentence: int):
                     at = pa.array(np.concatenate(rows))
                     value, begin, count = (np.concatenate([x[k] for x in found]) for k in range(3))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(value.view(np.int64)), pa.array(begin), pa.array(count)],
-                        names=["doc_id", "th", "span", "begin", "count"],
+                        [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(value.view(np.int64)), pa.array(begin.astype(np.int64) << 32 | count)],
+                        names=["doc_id", "th", "span", "at"],
                     )
                     found, rows, size = [], [], 0
 
@@ -124,20 +128,22 @@ def repeated_sentences(docs: DataFrame, run: int = RUN, min_words: int = MIN_WOR
     """(doc_id, th, removed): for each text with sentences to remove their sorted numbers, from 0.
 
     One row for each doc_id and text: repeated rows are one document, which does not repeat itself, while copies under
-    other doc_ids are removed whole but for the smallest. A null doc_id comes after all others. Null and empty texts,
+    other doc_ids are removed whole but for the smallest, if the text is long enough for a run. A null doc_id comes after all others. Null and empty texts,
     and texts without words, have no sentences.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").where("text is not null")
-    every = rows.mapInArrow(_span_batches(run, min_words, long_sentence), "doc_id long, th long, span long, begin int, count int")
-    every = cut_lineage(every)
+    every = rows.mapInArrow(_span_batches(run, min_words, long_sentence), "doc_id long, th long, span long, at long")
+    every = cut_lineage(every)  # at: the first sentence above, the number of sentences below 32 bits
     many = every.groupBy("span").agg(F.count("*").alias("times")).where("times > 1").select("span")
     again = cut_lineage(every.join(many, "span", "left_semi"))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "begin")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "at")
     first = again.groupBy("span").agg(F.min(place).alias("first"))
     later = again.join(first, "span").where(~place.eqNullSafe(F.col("first")))
-    covered = later.select("doc_id", "th", F.explode(F.sequence(F.col("begin"), F.expr("begin + count - 1"))).alias("sentence")).distinct()
-    return covered.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("sentence")).alias("removed"))
+    # a text's spans meet before their sentences are listed, which moves fewer rows
+    held = later.groupBy("doc_id", "th").agg(F.collect_list("at").alias("spots"))
+    listed = "flatten(transform(spots, at -> sequence(cast(at >> 32 as int), cast((at >> 32) + (at & 4294967295L) - 1 as int))))"
+    return held.select("doc_id", "th", F.expr(f"array_sort(array_distinct({listed}))").alias("removed"))
 
 
 def _clean_batches(names: list[str]):

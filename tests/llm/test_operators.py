@@ -369,6 +369,34 @@ def test_spans_equal_brute_force(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, spans.sentences(rows[0][1]), strict=True))
 
 
+def test_spans_cover_repeated_runs_to_their_last_sentence(spark):
+    """Brute force over runs of every length; 17, 10, 1, 5 and 3 words lose their last two sentences by starts alone."""
+
+    def text(seed, sizes):
+        rnd = random.Random(seed)
+        return "".join(" ".join(f"v{rnd.randrange(10**6)}" for _ in range(n)) + ". " for n in sizes)
+
+    shared = text(1, (17, 10, 1, 5, 3))
+    rows = [(i, text(10 + i, (8, 14)) + shared + text(50 + i, (6, 12)), "en", "a") for i in range(3)]
+    rows += [(i, text(2, (4, 9, 2, 3, 1)), "en", "a") for i in (10, 11)]
+    rnd = random.Random(5)
+    parts = [text(100 + k, (rnd.randrange(1, 14),)) for k in range(12)]
+    rows += [(20 + i, "".join(rnd.choice(parts) for _ in range(15)), "en", "a") for i in range(12)]
+    occurrences = defaultdict(set)
+    for i, t, *_ in rows:
+        p = [tuple(tokens(x)) for x in t.split(". ") if x]
+        for a, b in itertools.combinations(range(len(p) + 1), 2):
+            if b - a >= 2 and sum(map(len, p[a:b])) >= 10:
+                occurrences[tuple(p[a:b])].add((i, a, b))
+    want = defaultdict(set)
+    for at in occurrences.values():
+        for i, a, b in sorted(at)[1:]:
+            want[i].update(range(a, b))
+    out = {r.doc_id: r for r in spans.drop_repeated_spans(table(spark, rows)).collect()}
+    assert {i: list(r.removed) for i, r in out.items() if r.removed} == {i: sorted(x) for i, x in want.items()}
+    assert list(out[1].removed) == [2, 3, 4, 5, 6] and out[11].text == ""
+
+
 def test_spans_edges(spark, edges, empty):
     out = spans.drop_repeated_spans(edges).collect()
     assert len(out) == edges.count()
