@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import decontaminate, language, lines, minhash, mixing, quality, sharding, spans, topk, warc
+from foldwright.llm import decontaminate, divergence, language, lines, minhash, mixing, quality, sharding, spans, topk, warc
 from foldwright.llm.rows import table
 from foldwright.session import scratch_path, ship_package
 
@@ -178,3 +178,32 @@ def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
     kept = F.coalesce("text", F.lit(""))
     return cleaned.select("doc_id", "lines", F.coalesce(F.size("removed"), F.lit(0)).alias("removed_lines"), "removed", F.length(kept).alias("kept_chars"), F.md5(kept.cast("binary")).alias("kept_md5"))
+
+
+_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT n, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS k, count(DISTINCT n) AS docs FROM w GROUP BY lang, source, term),
+t AS (SELECT lang, term, sum(k)::HUGEINT AS lk FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(lk)::HUGEINT AS ln FROM t GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+kc AS (SELECT c.lang, c.source, c.term, c.k::HUGEINT AS k FROM c JOIN t USING (lang, term)),
+s AS (SELECT g.lang, g.source, coalesce(sum(kc.k), 0)::HUGEINT AS n FROM g LEFT JOIN kc USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT s.lang, s.source, t.term, coalesce(kc.k, 0) AS k, 1 + 1000000000::HUGEINT * (coalesce(kc.k, 0) + 1) // (s.n + v.v) AS p,
+        1 + 1000000000::HUGEINT * (t.lk + 1) // (v.ln + v.v) AS q
+      FROM s JOIN v USING (lang) JOIN t USING (lang) LEFT JOIN kc ON kc.lang = s.lang AND kc.source = s.source AND kc.term = t.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE k > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op13_source_divergence", _DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source of a language differs from the others, and by which terms from its language."""
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
