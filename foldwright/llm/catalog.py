@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import decontaminate, divergence, language, lines, minhash, mixing, quality, sharding, spans, topk, warc
+from foldwright.llm import codes, decontaminate, divergence, language, lines, minhash, mixing, quality, sharding, spans, topk, warc
 from foldwright.llm.rows import table
 from foldwright.session import scratch_path, ship_package
 
@@ -207,3 +207,34 @@ SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each source of a language differs from the others, and by which terms from its language."""
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def _codes_round(i: int) -> str:
+    """SQL: the parts' nearest entries of codebook c<i>, and codebook c<i + 1>."""
+    return f"""
+a{i} AS MATERIALIZED (SELECT vec_id, part, min(struct_pack(d := (pp + ee - 2 * list_inner_product(p.v, c.v))::BIGINT, entry := entry)) AS m FROM
+      (SELECT *, list_inner_product(v, v) AS pp FROM p) p JOIN (SELECT part, entry, v, list_inner_product(v, v) AS ee FROM c{i}) c USING (part) GROUP BY vec_id, part),
+x{i} AS (SELECT part, m.entry AS entry, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i} JOIN p USING (vec_id, part)),
+m{i} AS (SELECT part, entry, list(mean ORDER BY pos) AS v FROM (SELECT part, entry, pos, floor(sum(x) / count(*)) AS mean FROM x{i} GROUP BY part, entry, pos) GROUP BY part, entry),
+c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (part, entry)),"""
+
+
+_CODES_SQL = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v FROM k, range(0, 4) r(part)),
+c0 AS MATERIALIZED (SELECT part, entry, v FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p) WHERE entry < 256),
+{"".join(_codes_round(i) for i in range(4))}
+a AS (SELECT vec_id, part, min(struct_pack(d := (list_inner_product(p.v, p.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(p.v, c.v))::BIGINT, entry := entry)) AS m
+      FROM p JOIN c4 c USING (part) GROUP BY vec_id, part),
+e AS (SELECT vec_id, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN k USING (vec_id), h
+"""
+
+
+@query("op11_vector_codes", _CODES_SQL)
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, with its error and that of its label."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "label", codes.quantized().alias("vector"))
+    return codes.compress(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
