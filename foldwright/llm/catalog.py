@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import codes, decontaminate, divergence, language, lines, minhash, mixing, quality, sharding, spans, topk, warc
+from foldwright.llm import chat, codes, decontaminate, divergence, language, lines, minhash, mixing, quality, sharding, spans, topk, warc
 from foldwright.llm.rows import table
 from foldwright.session import scratch_path, ship_package
 
@@ -238,3 +238,27 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of every vector, with its error and that of its label."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "label", codes.quantized().alias("vector"))
     return codes.compress(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+_CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, 4 + length(role) + 2 + 8 + length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+        + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op12_chat_formatting", _CHAT_SQL)
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts hold the template's own markers, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), "role", "text")
+    marked = r"\### Assistant: </turn> ok"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    rows = rows.union(spark.range(2).select(F.lit(-7).cast("long"), "id", role, F.lit(marked)))
+    events = rows.withColumns({"kind": F.lit("message"), "message": F.lit(None).cast("string")})
+    return chat.digests(chat.format_conversations(events))
