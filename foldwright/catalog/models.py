@@ -15,7 +15,6 @@ from foldwright.models.mlp import MLP
 from foldwright.models.zoo import build_model, build_quantile_model
 from foldwright.operators import metrics, preprocess, selection, splits
 from foldwright.operators.columns import TARGET, encode_target
-from foldwright.operators.ordering import grouped_quantiles
 from foldwright.plans import audit, experiment, scaling, search
 from foldwright.sources.config import search_space
 from foldwright.sources.datasets import Dataset, dataset, table
@@ -309,10 +308,10 @@ def model_dropout_uncertainty(spark, sf_dir):
 
 @query("boosting_leaf_quantiles", """SELECT cast(l_linenumber AS INTEGER) AS leaf, round(quantile_cont(l_extendedprice - 50000, 0.9), 4) AS value FROM lineitem GROUP BY 1""")
 def boosting_leaf_quantiles(spark, sf_dir):
-    """Exact residual quantile per leaf (the boosters use mergeable sketches of the same number)."""
+    """Residual quantile per leaf, as the quantile booster sets its leaf values."""
     r = table(spark, sf_dir, "lineitem").select(
         F.col("l_linenumber").cast("int").alias("leaf"), (F.col("l_extendedprice") - 50000).alias("residual"))
-    return grouped_quantiles(r, ["leaf"], "residual", {"value": 0.9}).select("leaf", F.round("value", 4).alias("value"))
+    return trees.leaf_quantiles(r, 0.9).select("leaf", F.round("value", 4).alias("value"))
 
 
 @query("boosting_histogram_split", """WITH r AS (SELECT l_quantity AS x, CASE WHEN l_discount * 10 + l_quantity / 50 > 1 THEN 1e0 ELSE 0e0 END - 0.5e0 AS g FROM lineitem),

@@ -28,6 +28,7 @@ from foldwright.models.arrays import (
 )
 from foldwright.models.linear import class_predictions
 from foldwright.operators.columns import TARGET
+from foldwright.operators.ordering import grouped_quantiles
 from foldwright.session import cut_lineage
 
 CHECKPOINT_ROUNDS = 10
@@ -329,7 +330,7 @@ class Booster:
     def _quantile_leaves(self, state, pending, trees) -> None:
         """Replace leaf values by the residual quantile of the leaf's rows."""
         tree = trees[0]
-        found = leaf_quantiles(_leaf_residuals(state, pending, tree), self.quantile).collect()
+        found = leaf_quantiles(cut_lineage(_leaf_residuals(state, pending, tree)), self.quantile).collect()
         for r in found:
             tree.value[r["leaf"]] = self.learning_rate * r["value"]
 
@@ -346,8 +347,8 @@ def _leaf_residuals(state: DataFrame, pending: list[list[Tree]], tree: Tree) ->
 
 
 def leaf_quantiles(residuals: DataFrame, q: float) -> DataFrame:
-    """(leaf, value): residual quantile per leaf from mergeable sketches."""
-    return residuals.groupBy("leaf").agg(F.percentile_approx("residual", q, 10_000).alias("value"))
+    """(leaf, value): exact residual quantile per leaf."""
+    return grouped_quantiles(residuals, ["leaf"], "residual", {"value": q})
 
 
 def _raw_scores(bins: np.ndarray, raw: np.ndarray, pending: list[list[Tree]]) -> np.ndarray:

@@ -16,8 +16,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwright.session import cut_lineage
+
 _EARLIER = (Window.unboundedPreceding, -1)
-IN_TASK_ROWS = 500_000
+#: Cells of a group between sketched cut points: at least so many, and so many for each wanted rank.
+LEAST_CELLS, CELLS_PER_RANK = 64, 4
+#: Accuracy of the sketch in parts of a cell, and rows of a cell that one task sorts.
+SKETCH, CELL_ROWS = 10, 1_000_000
+#: Cut points of all groups together (8 bytes each) that are broadcast; beyond that they are joined.
+BROADCAST_CUTS = 2_000_000
 
 
 def seeded_hash(seed: int, key: str = "row_id") -> Column:
@@ -77,14 +84,14 @@ def seeded_rank(
     )
 
 
-def value_counts(
+def value_rows(
     df: DataFrame, columns: Sequence[str], weights: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Long table (feature, value, weights...) with one row per distinct value.
+    """Long rows (feature, value, weights...), one per cell of the columns; NULL and NaN are left out.
 
-    NULL and NaN are left out. The partial aggregation runs before the shuffle.
+    Nothing is shuffled here; what reads the rows aggregates them before it shuffles.
     """
-    weights = weights or {"n": F.lit(1)}
+    weights = weights or {"n": F.lit(1).cast("long")}
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
@@ -92,11 +99,8 @@ def value_counts(
         ]
     )
     long = df.select(*[w.alias(name) for name, w in weights.items()], F.inline(pairs))
-    return (
-        long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("feature", "value")
-        .agg(*[F.sum(name).cast("long").alias(name) for name in weights])
-    )
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return long.select("feature", "value", *weights)
 
 
 def _with_value_bucket(
@@ -110,20 +114,23 @@ def _with_value_bucket(
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*group).agg(F.percentile_approx(value, cuts, 2000).alias("_cuts"))
     joined = counts.join(F.broadcast(bounds), list(group))
-    return joined.withColumn("_bucket", cuts_below(F.col("_cuts"), F.col(value), buckets - 1)).drop("_cuts")
+    return with_cuts_below(joined, "_bucket", "_cuts", value, buckets - 1).drop("_cuts")
 
 
-def cuts_below(cuts: Column, value: Column, most: int) -> Column:
-    """How many of the sorted cut points (at most ``most``) lie below the value, by bisection."""
+def with_cuts_below(df: DataFrame, name: str, cuts: str, value: str, most: int) -> DataFrame:
+    """df with the column ``name``: how many of the sorted cut points (at most ``most``) lie below the value.
+
+    A bisection with one projection for each step, so that all of it stays in generated code; a lambda over the
+    array would be interpreted for every row.
+    """
     strides = [1]
     while sum(strides) < most:
         strides.insert(0, strides[0] * 2)
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in strides]),
-        F.lit(0),
-        lambda at, stride: at
-        + F.when(F.get(cuts, at + stride - 1) < value, stride).otherwise(0),
-    )
+    df = df.withColumn(name, F.lit(0))
+    for stride in strides:
+        ahead = F.get(cuts, F.col(name) + (stride - 1)) < F.col(value)
+        df = df.withColumn(name, F.col(name) + F.when(ahead, stride).otherwise(0))
+    return df
 
 
 def _bucket_starts(
@@ -168,132 +175,94 @@ def prefix_sums(
     )
 
 
-def _percentiles(
-    counts: DataFrame, group: Sequence[str], value: str, weights: Sequence[str], probs: Sequence[float]
-) -> DataFrame:
-    probs = [float(p) for p in probs]
-    sets = counts.groupBy(*group).agg(
-        *[F.percentile(value, probs, F.col(w)).alias(w) for w in weights]
-    )
-    long = sets.select(
-        *group,
-        F.inline(F.array(*[F.struct(F.lit(w).alias("weight_set"), F.col(w).alias("_q")) for w in weights])),
-    )
-    return long.select(*group, "weight_set", F.posexplode("_q").alias("prob_index", "quantile")).select(
-        *group,
-        "weight_set",
-        "prob_index",
-        F.get(F.array(*[F.lit(p) for p in probs]), F.col("prob_index")).alias("prob"),
-        "quantile",
-    )
+def _cut_cells(rows: DataFrame, group: list[str], value: str, cells: int) -> DataFrame:
+    """rows with ``_cell``: twice the number of cut points below the value, plus one for a value that is one.
+
+    Cut points come from a mergeable sketch of each group, its least and greatest value among them, so a value held
+    by more than a few of a group's cells is a cut point and has a cell of its own.
+    """
+    grid = [i / cells for i in range(cells + 1)]
+    cuts = F.array_distinct(F.percentile_approx(value, grid, SKETCH * cells))
+    bounds = cut_lineage(rows.groupBy(*group).agg(cuts.alias("_cuts")))
+    side = F.broadcast(bounds) if bounds.count() * cells <= BROADCAST_CUTS else bounds
+    marked = with_cuts_below(rows.join(side, group), "_below", "_cuts", value, cells + 1)
+    own = (F.get("_cuts", F.col("_below")) == F.col(value)).cast("int")
+    return marked.withColumn("_cell", 2 * F.col("_below") + F.coalesce(own, F.lit(0))).drop("_cuts", "_below")
+
+
+def _spans(celled: DataFrame, group: list[str], weights: Sequence[str]) -> DataFrame:
+    """(group..., weight_set, _spans): for each weight the cells that have any, as (end, start, cell, rows) by value.
+
+    A group has at most a few thousand cells.
+    """
+    totals = celled.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(w).alias(w) for w in weights])
+    upto = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    ends = totals.withColumns({f"_e_{w}": F.sum(w).over(upto) for w in weights})
+    span = lambda w: F.struct(F.col(f"_e_{w}").alias("end"), (F.col(f"_e_{w}") - F.col(w)).alias("start"), F.col("_cell").alias("cell"), F.col("_rows").alias("rows"))
+    long = ends.select(*group, F.inline(F.array(*[F.struct(F.lit(w).alias("weight_set"), F.col(w).alias("_own"), span(w).alias("_span")) for w in weights])))
+    return long.where("_own > 0").groupBy(*group, "weight_set").agg(F.array_sort(F.collect_list("_span")).alias("_spans"))
+
+
+def _placed(wanted: DataFrame, cells: int) -> DataFrame:
+    """wanted(_spans, _rank, ...) with the _cell of the rank, its rank in there and the cell's rows."""
+    ended = wanted.withColumns({"_ends": F.col("_spans.end"), "_next": F.col("_rank") + 1})
+    found = with_cuts_below(ended, "_at", "_ends", "_next", 2 * cells + 3).withColumn("_hit", F.get("_spans", F.col("_at"))).drop("_ends", "_next", "_at")
+    return found.withColumns({"_cell": F.col("_hit.cell"), "_local": F.col("_rank") - F.col("_hit.start"), "_rows": F.col("_hit.rows")}).drop("_hit", "_spans", "_rank")
+
+
+def _ranked_values(celled: DataFrame, placed: DataFrame, group: list[str], value: str, weights: Sequence[str], cells: int) -> DataFrame:
+    """(group..., weight_set, _id, value) for the ranks placed(group..., weight_set, _id, _cell, _local, _rows).
+
+    Only the values of cells in which a rank is wanted are shuffled, equal ones as one row. A cell of more than
+    CELL_ROWS rows and several values is cut into cells again, so no task sorts more than that.
+    """
+    placed = cut_lineage(placed)
+    large = (F.col("_rows") > CELL_ROWS) & (F.col("_cell") % 2 == 0)
+    key = [*group, "_cell"]
+    ready = placed.where(~large)
+    inside = celled.join(F.broadcast(ready.select(*key).distinct()), key, "left_semi").groupBy(*key, value).agg(*[F.sum(w).alias(w) for w in weights])
+    upto = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ends = inside.withColumns({f"_e_{w}": F.sum(w).over(upto) for w in weights})
+    each = F.array(*[F.struct(F.lit(w).alias("weight_set"), (F.col(f"_e_{w}") - F.col(w)).alias("_from"), F.col(f"_e_{w}").alias("_to")) for w in weights])
+    ranges = ends.select(*key, value, F.inline(each)).where("_from < _to")
+    out = ranges.join(ready, [*key, "weight_set"]).where("_local >= _from and _local < _to").select(*group, "weight_set", "_id", value)
+    open_ = placed.where(large)
+    if open_.isEmpty():
+        return out
+    rename = {"_cell": f"_cell{len(group)}"}
+    rows = celled.join(F.broadcast(open_.select(*key).distinct()), key, "left_semi").withColumnsRenamed(rename)
+    finer = [*group, rename["_cell"]]
+    again = _cut_cells(cut_lineage(rows), finer, value, cells)
+    wanted = open_.withColumnsRenamed(rename).select(*finer, "weight_set", "_id", F.col("_local").alias("_rank"))
+    nested = _placed(wanted.join(_spans(again, finer, weights), [*finer, "weight_set"]), cells)
+    return out.unionByName(_ranked_values(again, nested, finer, value, weights, cells).select(*out.columns))
 
 
 def quantile_table(
-    counts: DataFrame,
-    group: Sequence[str],
-    value: str,
-    weights: Sequence[str],
-    probs: Sequence[float],
-    buckets: int = 64,
-    rows: int | None = None,
+    rows: DataFrame, group: Sequence[str], value: str, weights: Sequence[str], probs: Sequence[float]
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles of weighted distinct values.
+    """Exact linear-interpolated quantiles of weighted values: two passes, one plan at every size.
 
-    Several weight columns give several quantile sets from one pass, e.g. one
-    per training fold. Returns (group..., weight_set, prob_index, prob, quantile).
-    A counted row total of at most IN_TASK_ROWS bounds the buffer of Spark's own
-    ``percentile``; larger or uncounted data take the bucketed way.
+    ``rows`` has a value per row, or per distinct value, and any number of integer weights: several weight columns
+    give several quantile sets from the same passes, e.g. one per training fold. The first pass takes a sketch of
+    each group that brackets every wanted rank, the second counts the weights of the cells between its cut points;
+    then only the values of the cells that hold a wanted rank are shuffled. NULL and NaN are left out, and so are
+    groups with a NULL key. Returns (group..., weight_set, prob_index, prob, quantile).
     """
     group = list(group)
-    if rows is not None and rows <= IN_TASK_ROWS:
-        return _percentiles(counts, group, value, weights, probs)
-    bucketed = _with_value_bucket(counts, group, value, buckets)
-    starts = _bucket_starts(bucketed, group, weights)
-    prob_array = F.array(*[F.lit(float(p)) for p in probs])
-    per_set = starts.select(
-        *group,
-        "_bucket",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(w).alias("weight_set"),
-                        F.col(f"_s_{w}").alias("_start"),
-                        F.col(f"_t_{w}").alias("_total"),
-                        F.col(f"_n_{w}").alias("_n"),
-                    )
-                    for w in weights
-                ]
-            )
-        ),
-    ).filter(F.col("_total") > 0)
-    # Each probability asks for the values at the two ranks around p * (n - 1).
-    wanted = F.flatten(
-        F.transform(
-            prob_array,
-            lambda p, i: F.array(
-                F.struct(
-                    i.alias("prob_index"),
-                    p.alias("prob"),
-                    F.floor(p * (F.col("_n") - 1)).alias("_rank"),
-                    (1.0 - (p * (F.col("_n") - 1) - F.floor(p * (F.col("_n") - 1)))).alias("_share"),
-                ),
-                F.struct(
-                    i.alias("prob_index"),
-                    p.alias("prob"),
-                    (F.floor(p * (F.col("_n") - 1)) + 1).alias("_rank"),
-                    (p * (F.col("_n") - 1) - F.floor(p * (F.col("_n") - 1))).alias("_share"),
-                ),
-            ),
-        )
-    )
-    inside_bucket = F.filter(
-        wanted,
-        lambda t: (t["_share"] > 0)
-        & (t["_rank"] >= F.col("_start"))
-        & (t["_rank"] < F.col("_start") + F.col("_total")),
-    )
-    targets = per_set.select(*group, "_bucket", "weight_set", "_start", F.inline(inside_bucket))
-    # Only buckets that hold a wanted rank are sorted. Few targets per group: broadcast.
-    needed = F.broadcast(targets.select(*group, "_bucket").distinct())
-    upto = Window.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    rows = bucketed.join(needed, [*group, "_bucket"], "left_semi")
-    for w in weights:
-        rows = rows.withColumn(f"_c_{w}", F.sum(w).over(upto))
-    rows = rows.select(
-        *group,
-        "_bucket",
-        value,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(w).alias("weight_set"),
-                        (F.col(f"_c_{w}") - F.col(w)).alias("_from"),
-                        F.col(f"_c_{w}").alias("_to"),
-                    )
-                    for w in weights
-                ]
-            )
-        ),
-    )
-    hits = rows.join(targets, [*group, "_bucket", "weight_set"]).filter(
-        (F.col("_rank") - F.col("_start") >= F.col("_from"))
-        & (F.col("_rank") - F.col("_start") < F.col("_to"))
-    )
-    return hits.groupBy(*group, "weight_set", "prob_index", "prob").agg(
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
-        F.min_by("_share", "_rank").alias("_share_lo"),
-    ).select(
-        *group,
-        "weight_set",
-        "prob_index",
-        "prob",
-        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (1.0 - F.col("_share_lo"))).alias("quantile"),
-    )
+    probs = [float(p) for p in probs]
+    cells = max(LEAST_CELLS, CELLS_PER_RANK * len(probs))
+    known = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    celled = _cut_cells(known, group, value, cells)
+    # each probability asks for the values at the two ranks around p * (n - 1)
+    at = F.col("_p") * (F.element_at("_spans", -1)["end"] - 1)
+    asked = _spans(celled, group, weights).select("*", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("prob_index", "_p"))
+    asked = asked.withColumns({"_low": F.floor(at), "_share": at - F.floor(at)})
+    rank = lambda i: F.struct(F.struct("prob_index", F.col("_p").alias("prob"), F.col("_share").alias("share"), F.lit(i).alias("high")).alias("_id"), (F.col("_low") + i).alias("_rank"))
+    wanted = asked.select(*group, "weight_set", "_spans", F.inline(F.array(rank(0), rank(1)))).where("_id.high = 0 or _id.share > 0")
+    found = _ranked_values(celled, _placed(wanted, cells), group, value, weights, cells)
+    pairs = found.groupBy(*group, "weight_set", F.col("_id.prob_index").alias("prob_index"), F.col("_id.prob").alias("prob")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.max("_id.share").alias("_share"))
+    return pairs.select(*group, "weight_set", "prob_index", "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_share")).alias("quantile"))
 
 
 def grouped_quantiles(
@@ -303,12 +272,8 @@ def grouped_quantiles(
     group = list(group)
     keys = group or ["_all"]
     base = df if group else df.withColumn("_all", F.lit(0))
-    counts = (
-        base.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    table = quantile_table(counts, keys, "_value", ["n"], list(probs.values()))
+    values = base.select(*keys, F.col(value).cast("double").alias("_value"), F.lit(1).cast("long").alias("n"))
+    table = quantile_table(values, keys, "_value", ["n"], list(probs.values()))
     wide = table.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("prob_index") == i, F.col("quantile"))).alias(name)

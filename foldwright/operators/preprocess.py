@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.scalar import normal_ppf_sql
 from foldwright.operators.columns import TARGET
-from foldwright.operators.ordering import quantile_table, value_counts
+from foldwright.operators.ordering import quantile_table, value_rows
 from foldwright.operators.traits import RARE_FREQUENCY
 from foldwright.session import scratch_path
 
@@ -70,11 +70,12 @@ def numeric_parameters(
 
     ``k`` needs a ``fold`` column. All sets come from the same jobs: moments are
     grouped once per fold and merged over the other folds, quantiles use one
-    weight per training set over the distinct values.
+    weight per training set. The folds' columns are kept while the passes run, as
+    dealing folds costs more than reading them again.
     """
     numeric = list(numeric)
     sets = 1 if k is None else k
-    keyed = df if k is not None else df.withColumn("fold", F.lit(0))
+    keyed = df.select("fold", *numeric).persist() if k is not None else df.withColumn("fold", F.lit(0))
     moments: dict[tuple[int, str], tuple[int, float, float]] = {}
     sizes: dict[int, int] = {}
     for row in (
@@ -105,17 +106,15 @@ def numeric_parameters(
     counts = None
     if needs_values:
         weights = {
-            f"w{s}": (F.lit(1) if k is None else (F.col("fold") != s).cast("long"))
+            f"w{s}": (F.lit(1) if k is None else F.col("fold") != s).cast("long")
             for s in range(sets)
         }
-        counts = value_counts(keyed, numeric, weights).cache()
+        counts = value_rows(keyed, numeric, weights)
     fills: list[dict[str, float | None]]
     names = [f"w{s}" for s in range(sets)]
     if imputer == "median":
         fills = [{c: None for c in numeric} for _ in range(sets)]
-        for r in quantile_table(
-            counts, ["feature"], "value", names, [0.5], rows=sum(sizes.values())
-        ).collect():
+        for r in quantile_table(counts, ["feature"], "value", names, [0.5]).collect():
             fills[int(r["weight_set"][1:])][r["feature"]] = r["quantile"]
     else:
         fills = [{c: (m[1] if m[0] else None) for c, m in merged[s].items()} for s in range(sets)]
@@ -140,17 +139,15 @@ def numeric_parameters(
             else [float(v) for v in np.linspace(0, 1, max(2, min(n_quantiles, min(n_all))))]
         )
         found: dict[tuple[int, str], dict[int, float]] = {}
-        for r in quantile_table(
-            imputed, ["feature"], "value", names, probs, rows=sum(sizes.values())
-        ).collect():
+        for r in quantile_table(imputed, ["feature"], "value", names, probs).collect():
             found.setdefault((int(r["weight_set"][1:]), r["feature"]), {})[r["prob_index"]] = r["quantile"]
         for (s, c), q in found.items():
             if scaler == "robust":
                 out[s][c].center, out[s][c].scale = q[1], (q[2] - q[0]) or 1.0
             else:
                 out[s][c].quantiles = [q[i] for i in range(len(probs))]
-    if counts is not None:
-        counts.unpersist()
+    if k is not None:
+        keyed.unpersist()
     return out
 
 

@@ -12,7 +12,7 @@ from foldwright.models.linear import Lasso
 from foldwright.models.logistic import Logistic, LogisticModel
 from foldwright.models.trees import ExtraTrees
 from foldwright.operators.columns import TARGET
-from foldwright.operators.ordering import cuts_below, quantile_table
+from foldwright.operators.ordering import quantile_table, with_cuts_below
 
 STRATEGIES = ("none", "filter", "l1", "tree", "rfe")
 MI_BINS = 32
@@ -53,26 +53,22 @@ def mutual_information(df: DataFrame, task: str, bins: int = MI_BINS) -> DataFra
     target is binned too.
     """
     probs = [i / bins for i in range(1, bins)]
-    counts = _long(df).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    edges = quantile_table(counts, ["feature"], "value", ["n"], probs).groupBy("feature").agg(
+    values = _long(df, F.lit(1).cast("long").alias("n"))
+    edges = quantile_table(values, ["feature"], "value", ["n"], probs).groupBy("feature").agg(
         F.array_sort(F.collect_set("quantile")).alias("edges")
     )
     if task == "regression":
-        ys = df.groupBy(F.lit(0).alias("g"), F.col(TARGET).cast("double").alias("value")).agg(
-            F.count(F.lit(1)).alias("n"))
+        ys = df.select(F.lit(0).alias("g"), F.col(TARGET).cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
         y_edges = quantile_table(ys, ["g"], "value", ["n"], probs).agg(
             F.array_sort(F.collect_set("quantile"))
         ).first()[0]
-        y = cuts_below(F.array(*[F.lit(v) for v in y_edges]), F.col(TARGET).cast("double"), bins - 1)
+        df = df.withColumns({"_edges": F.array(*[F.lit(v) for v in y_edges]), "_y": F.col(TARGET).cast("double")})
+        df = with_cuts_below(df, "y", "_edges", "_y", bins - 1)
     else:
-        y = F.col(TARGET).cast("int")
+        df = df.withColumn("y", F.col(TARGET).cast("int"))
     # One row of cut points per feature column: bounded by the schema.
-    cells = (
-        _long(df, y.alias("y"))
-        .join(F.broadcast(edges), "feature")
-        .groupBy("feature", cuts_below(F.col("edges"), F.col("value"), bins - 1).alias("b"), "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    placed = with_cuts_below(_long(df, "y").join(F.broadcast(edges), "feature"), "b", "edges", "value", bins - 1)
+    cells = placed.groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n"))
     # At most bins x max(bins, classes) cells per feature.
     each = Window.partitionBy("feature")
     joint = cells.select(

@@ -134,12 +134,12 @@ def _model(spark: SparkSession, path: str, m: dict):
 
 
 def decide(
-    features: DataFrame, params: Mapping[str, object], n_rows: int | None = None
+    features: DataFrame, params: Mapping[str, object]
 ) -> dict[str, object]:
     """Preprocessing structure: pinned choices from params, the rest from the traits."""
     prep = _part(params, "prep")
     pinned = {k: str(prep.get(k, "auto")) for k in ("numeric_imputer", "scaler", "cat_encoder")}
-    return resolve_auto(traits(features, n_rows), **pinned).first().asDict(recursive=True)
+    return resolve_auto(traits(features), **pinned).first().asDict(recursive=True)
 
 
 def fit_pipeline(

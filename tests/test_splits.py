@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,14 +91,53 @@ def test_inner_folds_cover_each_training_set(spark, sf_dir):
     assert both.filter("fold = outer_fold").isEmpty()
 
 
-def test_quantiles_match_percentile_on_both_ways(spark, sf_dir):
-    df = dataset(spark, sf_dir, "line_reg").df
-    counts = ordering.value_counts(df, ["l_extendedprice", "l_tax_n"])
-    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    far = ordering.quantile_table(counts, ["feature"], "value", ["n"], probs, buckets=7)
-    near = ordering.quantile_table(counts, ["feature"], "value", ["n"], probs, rows=10_000)
-    key = lambda t: {(r["feature"], r["prob_index"]): round(r["quantile"], 9) for r in t.collect()}
-    assert key(far) == key(near)
+def plain_quantile(values, p):
+    values = sorted(values)
+    at = p * (len(values) - 1)
+    low = int(at)
+    return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
+
+
+@pytest.mark.parametrize("cell_rows", [1_000_000, 40, 3])
+def test_quantiles_are_exact_at_every_cell_size(spark, monkeypatch, cell_rows):
+    """Ties, hot values, several weight sets and groups; small cells are cut again and again."""
+    monkeypatch.setattr(ordering, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(ordering, "LEAST_CELLS", 4)
+    rnd = random.Random(cell_rows)
+    rows = [("a", rnd.choice([1.0, 1.0, rnd.gauss(0, 1e6), rnd.random()]), rnd.randrange(3)) for _ in range(900)]
+    rows += [("b", 7.0, 0)] * 50 + [("c", 2.5, 2)] + [("d", float("nan"), 0), ("d", None, 1), ("a", None, 1)]
+    rows += [("e", float(i // 2), i % 3) for i in range(400)] + [("f", s * float("inf"), 0) for s in (1, -1)] + [("f", 0.0, 0)] * 3
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    df = spark.createDataFrame(rows, "g string, v double, fold int").repartition(5)
+    weights = {f"w{s}": (F.col("fold") != s).cast("long") for s in range(3)}
+    long = df.withColumns(weights)
+    got = {(r["g"], r["weight_set"], r["prob"]): r["quantile"] for r in ordering.quantile_table(long, ["g"], "v", list(weights), probs).collect()}
+    want = {}
+    for g in "abcef":
+        for s in range(3):
+            values = [v for h, v, fold in rows if h == g and v is not None and fold != s]
+            want |= {(g, f"w{s}", p): plain_quantile(values, p) for p in probs if values}
+    assert set(got) == set(want)
+    for key, q in want.items():
+        assert got[key] == pytest.approx(q, rel=1e-12, abs=1e-12) or (q != q and got[key] != got[key]), key
+
+
+def test_quantiles_of_many_probabilities_and_of_nothing(spark):
+    df = spark.range(5000).select(F.lit("g").alias("g"), (F.xxhash64("id") % 10_007 / 7).alias("v"), F.lit(1).cast("long").alias("n"))
+    values = [r["v"] for r in df.collect()]
+    probs = [i / 499 for i in range(500)]
+    got = {r["prob_index"]: r["quantile"] for r in ordering.quantile_table(df, ["g"], "v", ["n"], probs).collect()}
+    assert [got[i] for i in range(500)] == pytest.approx([plain_quantile(values, p) for p in probs], rel=1e-12)
+    assert ordering.quantile_table(df.where("false"), ["g"], "v", ["n"], [0.5]).isEmpty()
+    assert ordering.grouped_quantiles(df, [], "v", {"median": 0.5}).first()["median"] == pytest.approx(plain_quantile(values, 0.5), rel=1e-12)
+
+
+def test_quantiles_shuffle_sketches_and_wanted_cells_only(spark):
+    """The rows go through no exchange: what is shuffled has been aggregated."""
+    df = spark.range(100_000).select(F.lit("g").alias("g"), F.rand(5).alias("v"), F.lit(1).cast("long").alias("n"))
+    table = ordering.quantile_table(df, ["g"], "v", ["n"], [0.5])
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert table.count() == 1 and "Repartition" not in plan and "Window" in plan
 
 
 def test_hot_values_and_groups_keep_exact_prefix_sums(spark):
