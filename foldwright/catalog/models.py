@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from foldwright.catalog.base import query
 from foldwright.catalog.fixtures import with_cte
 from foldwright.models import linear, neighbours, trees
-from foldwright.models.mlp import MLP
+from foldwright.models.mlp import MLP, MLPState, Shape
+from foldwright.models.sgd import SGD, SGDState, contribution
+from foldwright.models.synchronous import lay_out, summed_step
 from foldwright.models.zoo import build_model, build_quantile_model
 from foldwright.operators import metrics, preprocess, selection, splits
 from foldwright.operators.columns import TARGET, encode_target
@@ -306,6 +308,46 @@ def model_dropout_uncertainty(spark, sf_dir):
     return out.withColumn("least_std", bounds.agg(F.min("std")).scalar())
 
 
+def _step_rows(spark, sf_dir, target):
+    """Lineitem with two features, dealt into one mini-batch."""
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
+    features = F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10)
+    return lay_out(table(spark, sf_dir, "lineitem").select(key.alias("row_id"), features.alias("features"), target.alias(TARGET)), steps=1)
+
+
+@query("sgd_one_step", """WITH r AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END AS y FROM lineitem),
+  e AS (SELECT a, b, 1e0 / (1e0 + exp(-(0.1e0 - 0.2e0 * a + 0.3e0 * b))) - y AS e, ln(1e0 + exp(0.1e0 - 0.2e0 * a + 0.3e0 * b)) - y * (0.1e0 - 0.2e0 * a + 0.3e0 * b) AS loss FROM r),
+  g AS (SELECT avg(e) AS g0, avg(e * a) AS g1, avg(e * b) AS g2, avg(loss) AS loss FROM e)
+  SELECT round(0.1e0 - 0.3e0 * g0, 9) AS w0, round((-0.2e0 - 0.3e0 * g1) * (1 - 0.3e0 * 1e-4), 9) AS w1,
+    round((0.3e0 - 0.3e0 * g2) * (1 - 0.3e0 * 1e-4), 9) AS w2, round(loss, 9) AS loss FROM g""")
+def sgd_one_step(spark, sf_dir):
+    """One synchronous step of the logistic SGD from given weights."""
+    rows = _step_rows(spark, sf_dir, (F.col("l_returnflag") == "R").cast("double"))
+    w = np.array([[0.1, -0.2, 0.3]])
+    n, sums = summed_step(rows, 0, lambda x, y, block: contribution("classification", w, x, y))
+    after = SGD("classification", eta0=0.3, alpha=1e-4).step(SGDState(w), n, sums).weights[0]
+    out = [(*(round(float(v), 9) for v in after), round(float(sums[0] / n), 9))]
+    return spark.createDataFrame(out, "w0 double, w1 double, w2 double, loss double")
+
+
+@query("mlp_one_step", """WITH r AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, l_tax * 10 AS y FROM lineitem),
+  z AS (SELECT *, 0.05e0 + 0.3e0 * a + 0.1e0 * b AS z0, -0.1037e0 - 0.2e0 * a + 0.4e0 * b AS z1 FROM r),
+  d AS (SELECT *, 2 * (0.5e0 * greatest(z0, 0) - 0.3e0 * greatest(z1, 0) + 0.2e0 - y) AS d FROM z),
+  k AS (SELECT *, CASE WHEN z0 > 0 THEN 0.5e0 * d ELSE 0e0 END AS d0, CASE WHEN z1 > 0 THEN -0.3e0 * d ELSE 0e0 END AS d1 FROM d),
+  g AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS position, unnest([0.3e0, -0.2e0, 0.1e0, 0.4e0, 0.05e0, -0.1037e0, 0.5e0, -0.3e0, 0.2e0]) AS w,
+    unnest([avg(a * d0), avg(a * d1), avg(b * d0), avg(b * d1), avg(d0), avg(d1), avg(d * greatest(z0, 0)), avg(d * greatest(z1, 0)), avg(d)]) AS gradient FROM k)
+  SELECT position, round(gradient, 8) AS gradient, round(w - 0.01e0 * (gradient / (abs(gradient) + 1e-8) + 1e-4 * w), 8) AS weight FROM g""")
+def mlp_one_step(spark, sf_dir):
+    """The gradient of a small perceptron with given weights, and its weights after one AdamW step."""
+    rows = _step_rows(spark, sf_dir, F.col("l_tax") * 10)
+    net, shape = MLP("regression", hidden_dim=2, n_layers=1, dropout=0.0, batch_norm=False), Shape(2, 1, 2, 1, 0.0, False)
+    state = MLPState.start(np.array([0.3, -0.2, 0.1, 0.4, 0.05, -0.1037, 0.5, -0.3, 0.2]), shape.stats())
+    n, sums = summed_step(rows, 0, lambda x, y, block: net.contribution(shape, state, x, y))
+    after = net.move(state, sums / n, shape.stats(), 0.01)
+    out = [(i, round(float(g), 8), round(float(w), 8)) for i, (g, w) in enumerate(zip(sums / n, after.weights))]
+    return spark.createDataFrame(out, "position int, gradient double, weight double")
+
+
 @query("boosting_leaf_quantiles", """SELECT cast(l_linenumber AS INTEGER) AS leaf, round(quantile_cont(l_extendedprice - 50000, 0.9), 4) AS value FROM lineitem GROUP BY 1""")
 def boosting_leaf_quantiles(spark, sf_dir):
     """Residual quantile per leaf, as the quantile booster sets its leaf values."""

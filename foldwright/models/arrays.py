@@ -64,10 +64,6 @@ def with_computed(
     return df.mapInArrow(run, schema)
 
 
-def layout_parts(n_rows: int, rows_per_part: int = 100_000, least: int = 4) -> int:
-    return max(least, -(-n_rows // rows_per_part))
-
-
 def spread(df: DataFrame, n_rows: int, parts: int = 8, small: int = 2_000_000) -> DataFrame:
     """Give a small table from few files enough partitions for an iterative fit.
 
@@ -76,15 +72,6 @@ def spread(df: DataFrame, n_rows: int, parts: int = 8, small: int = 2_000_000) -
     return df.repartition(parts, "row_id") if n_rows <= small else df
 
 
-def fixed_layout(df: DataFrame, n_rows: int) -> DataFrame:
-    """Hash-partition by key into a count that depends on the row count only.
-
-    Together with a sort inside the partitions this makes partition-wise
-    training independent of how the input was laid out.
-    """
-    return df.repartition(layout_parts(n_rows), "row_id").sortWithinPartitions(F.xxhash64("row_id"), "row_id")
-
-
 def summed_vectors(
     vectors: DataFrame, parts: int | None = None, fan_in: int = 64
 ) -> list[np.ndarray]:

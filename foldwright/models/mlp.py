@@ -1,14 +1,12 @@
-"""Multilayer perceptron trained by partition-wise AdamW passes averaged per epoch.
+"""Multilayer perceptron trained by synchronous AdamW mini-batches.
 
-One Spark job per epoch: every partition starts from the same weights, makes its
-mini-batch steps with the epoch's cosine step size, and the weights and
-optimiser moments are averaged by row count. The layout is fixed by key, dropout
-masks come from seed, epoch and partition, so a fit is repeatable.
+A step is one Spark job over its mini-batch, with the epoch's cosine step size; see ``models/synchronous.py``. Layers
+are normalised by the rows of a block in a step (at most a chunk of it), as distributed training does. Dropout masks
+come from seed, step and block, so a fit is repeatable and does not depend on the input's partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,16 +17,13 @@ from pyspark.sql import types as T
 
 from foldwright.functions.scalar import hash_unit
 from foldwright.models.arrays import (
-    fixed_layout,
-    layout_parts,
     list_column,
     matrix,
-    summed_vectors,
     vector,
     with_computed,
 )
 from foldwright.models.linear import class_predictions
-from foldwright.operators.columns import TARGET
+from foldwright.models.synchronous import BLOCKS, HELD_OUT, STEPS, lay_out, summed_step, target_scale
 
 VALIDATION_SHARE = 0.1
 EARLY_STOP_ROWS = 100
@@ -145,8 +140,29 @@ def dropout_masks(shape: Shape, rows: int, rng: np.random.Generator) -> list[np.
     return [(rng.random((rows, shape.hidden)) < keep) / keep for _ in range(shape.layers)]
 
 
+@dataclass(frozen=True)
+class MLPState:
+    """Weights, running layer statistics, the optimiser's moments and how many steps were made."""
+
+    weights: np.ndarray
+    stats: np.ndarray
+    m: np.ndarray
+    v: np.ndarray
+    step: float = 0.0
+
+    @classmethod
+    def start(cls, weights: np.ndarray, stats: np.ndarray) -> MLPState:
+        return cls(weights, stats, np.zeros_like(weights), np.zeros_like(weights))
+
+
 @dataclass
 class MLP:
+    """``steps`` mini-batches an epoch at every size of the table, summed over ``blocks``.
+
+    With ``batch_size`` an epoch has as many steps as mini-batches of about that many rows need; a step is a job, so
+    that is for tables of some thousand mini-batches at most.
+    """
+
     task: str
     hidden_dim: int = 128
     n_layers: int = 2
@@ -154,7 +170,9 @@ class MLP:
     batch_norm: bool = True
     lr: float = 1e-3
     weight_decay: float = 1e-4
-    batch_size: int = 256
+    batch_size: int | None = None
+    steps: int = STEPS
+    blocks: int = BLOCKS
     max_epochs: int = 100
     patience: int = 10
     classes: int = 2
@@ -163,126 +181,65 @@ class MLP:
     def fit(self, train: DataFrame) -> MLPModel:
         n = train.count()
         early = n >= EARLY_STOP_ROWS
-        in_validation = hash_unit(F.lit(f"mlp{self.seed}"), F.col("row_id")) < VALIDATION_SHARE
-        data = fixed_layout(
-            train.select(
-                "row_id",
-                F.col(TARGET).cast("double").alias(TARGET),
-                "features",
-                (in_validation if early else F.lit(False)).alias("validation"),
-            ),
-            n,
-        ).persist()
+        steps = self.steps if self.batch_size is None else max(1, -(-n // self.batch_size))
+        held_out = hash_unit(F.lit(f"mlp{self.seed}"), F.col("row_id")) < VALIDATION_SHARE if early else None
+        data = lay_out(train, steps, self.blocks, self.seed, held_out).persist()
         try:
-            width = len(data.select("features").first()[0])
-            mean, std = 0.0, 1.0
-            if self.task == "regression":
-                r = data.agg(F.avg(TARGET).alias("m"), F.stddev_pop(TARGET).alias("s")).first()
-                mean, std = r["m"], r["s"] or 1.0
+            scale = target_scale(data) if self.task == "regression" else (0.0, 1.0)
             outputs = 1 if self.task == "regression" else self.classes
+            width = len(data.select("features").first()[0])
             shape = Shape(width, outputs, self.hidden_dim, self.n_layers, self.dropout, self.batch_norm)
-            w, stats = self._train(data, shape, mean, std, early, layout_parts(n))
+            best = self._train(data, shape, scale, early, steps)
         finally:
             data.unpersist()
-        return MLPModel(self.task, shape, w, stats, mean, std, self.seed)
+        return MLPModel(self.task, shape, best.weights, best.stats, *scale, self.seed)
 
-    def _train(self, data, shape, mean, std, early, parts):
-        w, stats = shape.start(self.seed), shape.stats()
-        m, v, step = np.zeros_like(w), np.zeros_like(w), 0.0
-        best, best_loss, waited = (w, stats), np.inf, 0
+    def _train(self, data: DataFrame, shape: Shape, scale: tuple[float, float], early: bool, steps: int) -> MLPState:
+        state = MLPState.start(shape.start(self.seed), shape.stats())
+        best, best_loss, waited = state, np.inf, 0
         for epoch in range(self.max_epochs):
             rate = self.lr * (1 + np.cos(np.pi * epoch / self.max_epochs)) / 2
-            w, m, v, stats, step, loss = self._epoch(
-                data, shape, mean, std, (w, m, v, stats, step), rate, epoch, parts
-            )
-            if not early:
-                continue
-            # The loss an epoch reports belongs to the weights it started from.
-            if epoch and loss < best_loss - IMPROVEMENT:
-                best, best_loss, waited = started, loss, 0
-            elif epoch:
+            for k in range(steps):
+                state = self.step(data, k, shape, state, scale, rate)
+            loss = self.validation_loss(data, shape, state, scale) if early else -np.inf
+            if not early or loss < best_loss - IMPROVEMENT:
+                best, best_loss, waited = state, max(loss, 0.0) if early else np.inf, 0
+            else:
                 waited += 1
                 if waited >= self.patience:
                     break
-            started = (w, stats)
-        if early and self._validation_loss(data, shape, mean, std, w, stats, parts) < best_loss - IMPROVEMENT:
-            best, best_loss = (w, stats), 0.0
-        return best if early and np.isfinite(best_loss) else (w, stats)
-
-    def _validation_loss(self, data, shape, mean, std, w, stats, parts) -> float:
-        task = self.task
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = loss = 0.0
-            for b in batches:
-                held = vector(b, "validation", bool)
-                if held.any():
-                    out = forward(shape, shape.unpack(w), stats, matrix(b)[held])[0]
-                    loss += _loss(task, out, ((vector(b, TARGET) - mean) / std)[held])[0]
-                    n += held.sum()
-            if n:
-                yield pa.RecordBatch.from_arrays([list_column(np.array([[n, loss]]))], ["sums"])
-
-        total = summed_vectors(data.mapInArrow(run, "sums array<double>"), parts)
-        return np.inf if total is None else total[0][1] / total[0][0]
-
-    def _epoch(self, data, shape, mean, std, state, rate, epoch, parts):
-        task, batch, decay, seed = self.task, self.batch_size, self.weight_decay, self.seed
-        w0, m0, v0, stats0, step0 = state
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, m, v, stats, step = w0.copy(), m0.copy(), v0.copy(), stats0.copy(), step0
-            n = n_val = loss_val = 0.0
-            rng = None
-            # rows short of a mini-batch wait for the next Arrow batch; the last ones are a smaller mini-batch
-            wait_x, wait_y = None, None
-
-            def train_on(x, y):
-                nonlocal w, m, v, stats, step
-                p = shape.unpack(w)
-                masks = dropout_masks(shape, len(y), rng)
-                out, last, cache, stats = forward(shape, p, stats, x, masks, True)
-                grad = backward(shape, p, last, cache, masks, _loss(task, out, y)[1] / len(y))
-                step += 1
-                m = _B1 * m + (1 - _B1) * grad
-                v = _B2 * v + (1 - _B2) * grad * grad
-                move = (m / (1 - _B1**step)) / (np.sqrt(v / (1 - _B2**step)) + _EPS)
-                w = w - rate * (move + decay * w)
-
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x, y = matrix(b), (vector(b, TARGET) - mean) / std
-                held = vector(b, "validation", bool)
-                if held.any():
-                    out = forward(shape, shape.unpack(w0), stats0, x[held])[0]
-                    loss_val += _loss(task, out, y[held])[0]
-                    n_val += held.sum()
-                x, y = x[~held], y[~held]
-                if rng is None:
-                    # The fixed layout makes the first key a stable name of the partition.
-                    first = str(b.column(0)[0].as_py()).encode()
-                    rng = np.random.default_rng([seed, epoch, *first])
-                n += len(y)
-                order = rng.permutation(len(y))
-                x, y = x[order], y[order]
-                if wait_x is not None:
-                    x, y = np.concatenate([wait_x, x]), np.concatenate([wait_y, y])
-                whole = len(y) // batch * batch
-                for start in range(0, whole, batch):
-                    train_on(x[start : start + batch], y[start : start + batch])
-                wait_x, wait_y = x[whole:], y[whole:]
-            if wait_y is not None and len(wait_y):
-                train_on(wait_x, wait_y)
-            if n or n_val:
-                row = np.concatenate([[n, n_val, loss_val, n * step], n * w, n * m, n * v, n * stats])
-                yield pa.RecordBatch.from_arrays([list_column(row[None, :])], ["sums"])
-
-        (total,) = summed_vectors(data.mapInArrow(run, "sums array<double>"), parts)
-        n, n_val, loss_val, step = total[:4]
-        size = w0.size
-        w, m, v = (total[4 + i * size : 4 + (i + 1) * size] / n for i in range(3))
-        return w, m, v, total[4 + 3 * size :] / n, step / n, loss_val / n_val if n_val else np.inf
+        return best
+
+    def contribution(self, shape: Shape, state: MLPState, x: np.ndarray, y: np.ndarray, draw: int = 0) -> np.ndarray:
+        """Summed gradient and rows times the running statistics, for some rows; draw seeds their dropout masks."""
+        rng = np.random.default_rng([self.seed, int(state.step), draw])
+        masks = dropout_masks(shape, len(y), rng)
+        p = shape.unpack(state.weights)
+        out, last, cache, stats = forward(shape, p, state.stats, x, masks, True)
+        grad = backward(shape, p, last, cache, masks, _loss(self.task, out, y)[1])
+        return np.concatenate([grad, len(y) * stats])
+
+    def step(self, laid_out: DataFrame, mini_batch: int, shape: Shape, state: MLPState, scale: tuple[float, float], rate: float) -> MLPState:
+        """One AdamW move by a mini-batch's gradient."""
+        rows, sums = summed_step(laid_out, mini_batch, lambda x, y, block: self.contribution(shape, state, x, (y - scale[0]) / scale[1], block))
+        return state if not rows else self.move(state, sums[: state.weights.size] / rows, sums[state.weights.size :] / rows, rate)
+
+    def move(self, state: MLPState, grad: np.ndarray, stats: np.ndarray, rate: float) -> MLPState:
+        count = state.step + 1
+        m = _B1 * state.m + (1 - _B1) * grad
+        v = _B2 * state.v + (1 - _B2) * grad * grad
+        step = (m / (1 - _B1**count)) / (np.sqrt(v / (1 - _B2**count)) + _EPS)
+        return MLPState(state.weights - rate * (step + self.weight_decay * state.weights), stats, m, v, count)
+
+    def validation_loss(self, laid_out: DataFrame, shape: Shape, state: MLPState, scale: tuple[float, float]) -> float:
+        """Mean loss of the rows that are held out; infinite without any."""
+        task, p = self.task, shape.unpack(state.weights)
+
+        def judged(x: np.ndarray, y: np.ndarray, block: int) -> np.ndarray:
+            return np.array([_loss(task, forward(shape, p, state.stats, x)[0], (y - scale[0]) / scale[1])[0]])
+
+        rows, sums = summed_step(laid_out, HELD_OUT, judged)
+        return sums[0] / rows if rows else np.inf
 
 
 @dataclass

@@ -1,124 +1,116 @@
-"""Stochastic gradient descent, one Spark job per epoch, and incremental updates."""
+"""Stochastic gradient descent by synchronous mini-batches, and incremental updates."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.models.arrays import (
-    fixed_layout,
-    layout_parts,
-    list_column,
-    matrix,
-    summed_vectors,
-    vector,
-)
 from foldwright.models.linear import class_predictions, linear_expression
-from foldwright.operators.columns import TARGET
+from foldwright.models.synchronous import BLOCKS, STEPS, lay_out, summed_step, target_scale
 
 _L1_SHARE = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.15}
 
 
 @dataclass(frozen=True)
 class SGDState:
-    """Weights (one row per output: intercept first) and the number of rows seen."""
+    """Weights (one row per output: intercept first), the next step's number and the last epoch's mean loss."""
 
     weights: np.ndarray
     steps: float = 1.0
+    loss: float = np.inf
 
 
-def _pass(w, steps, x, y, task, alpha, l1_share, batch, eta0):
-    """Mini-batch steps over one block with inverse-scaling step size."""
-    n_out = w.shape[0]
-    for start in range(0, len(y), batch):
-        xb = np.column_stack([np.ones(len(y[start : start + batch])), x[start : start + batch]])
-        yb = y[start : start + batch]
-        score = xb @ w.T
-        if task == "regression":
-            error = np.clip(score - yb[:, None], -1e3, 1e3)
-        else:
-            goal = yb[:, None] if n_out == 1 else (yb[:, None] == np.arange(n_out)[None, :])
-            error = 1.0 / (1.0 + np.exp(-np.clip(score, -35, 35))) - goal
-        rate = eta0 / steps**0.25
-        w = w - rate * error.T @ xb / len(yb)
-        shrink = rate * alpha
-        w[:, 1:] *= 1 - min(1.0, shrink * (1 - l1_share))
-        if l1_share:
-            w[:, 1:] = np.sign(w[:, 1:]) * np.maximum(np.abs(w[:, 1:]) - shrink * l1_share, 0)
-        steps += 1
-    return w, steps
+def contribution(task: str, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed loss and its gradient (one row per output, intercept first) over some rows."""
+    z = np.column_stack([np.ones(len(y)), x])
+    score = z @ w.T
+    if task == "regression":
+        gap = score - y[:, None]
+        loss, error = float((gap * gap).sum()) / 2, np.clip(gap, -1e3, 1e3)
+    else:
+        goal = y[:, None] if len(w) == 1 else (y[:, None] == np.arange(len(w))[None, :])
+        score = np.clip(score, -35, 35)
+        loss = float((np.logaddexp(0, score) - goal * score).sum())
+        error = 1.0 / (1.0 + np.exp(-score)) - goal
+    return np.concatenate([[loss], (error.T @ z).reshape(-1)])
 
 
 @dataclass
 class SGD:
-    """Linear model by partition-wise passes whose weights are averaged by row count."""
+    """Linear model by ``steps`` mini-batches an epoch, summed over ``blocks``; see ``models/synchronous.py``.
+
+    An epoch sees every row once. A step has the size eta0 / number ** 0.25; the penalty acts after it, not on the
+    intercept. Training ends after ``epochs``, or when ``patience`` epochs in a row have not lowered the mean loss by
+    ``tol``. Neither the input's partitions nor the number of rows changes the rule.
+    """
 
     task: str
     alpha: float = 1e-4
     penalty: str = "l2"
-    epochs: int = 10
-    batch_size: int = 32
-    eta0: float = 0.05
+    epochs: int = 25
+    steps: int = STEPS
+    blocks: int = BLOCKS
+    eta0: float = 0.3
     classes: int = 2
     seed: int = 0
+    tol: float = 1e-3
+    patience: int = 3
 
     def start(self, width: int) -> SGDState:
         outputs = 1 if self.task == "regression" or self.classes == 2 else self.classes
         return SGDState(np.zeros((outputs, width + 1)))
 
-    def epoch(self, laid_out: DataFrame, state: SGDState, parts: int | None = None) -> SGDState:
-        """One pass over every partition from the same start, then the weighted mean."""
-        w0, steps0 = state.weights, state.steps
-        task, alpha, share = self.task, self.alpha, _L1_SHARE[self.penalty]
-        batch, eta0 = self.batch_size, self.eta0
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, steps, n = w0.copy(), steps0, 0
-            for b in batches:
-                if b.num_rows:
-                    w, steps = _pass(w, steps, matrix(b), vector(b, TARGET), task, alpha, share, batch, eta0)
-                    n += b.num_rows
-            if n:
-                row = np.concatenate([[n, n * steps], n * w.reshape(-1)])
-                yield pa.RecordBatch.from_arrays([list_column(row[None, :])], ["sums"])
-
-        (total,) = summed_vectors(
-            laid_out.select(TARGET, "features").mapInArrow(run, "sums array<double>"),
-            parts,
-        )
-        n = total[0]
-        return SGDState(total[2:].reshape(w0.shape) / n, total[1] / n)
+    def step(self, state: SGDState, rows: float, sums: np.ndarray) -> SGDState:
+        """The move by the summed loss and gradient of a mini-batch."""
+        share = _L1_SHARE[self.penalty]
+        rate = self.eta0 / state.steps**0.25
+        w = state.weights - rate * sums[1:].reshape(state.weights.shape) / rows
+        shrink = rate * self.alpha
+        w[:, 1:] *= 1 - min(1.0, shrink * (1 - share))
+        if share:
+            w[:, 1:] = np.sign(w[:, 1:]) * np.maximum(np.abs(w[:, 1:]) - shrink * share, 0)
+        return SGDState(w, state.steps + 1, state.loss)
+
+    def epoch(self, laid_out: DataFrame, state: SGDState, centre: float = 0.0, scale: float = 1.0) -> SGDState:
+        """One pass over rows that lay_out has dealt; its state has the mean loss before the steps."""
+        task, n, loss = self.task, 0.0, 0.0
+        for k in range(self.steps):
+            w = state.weights
+            rows, sums = summed_step(laid_out, k, lambda x, y, block, w=w: contribution(task, w, x, (y - centre) / scale))
+            if rows:
+                n, loss = n + rows, loss + sums[0]
+                state = self.step(state, rows, sums)
+        return SGDState(state.weights, state.steps, loss / n if n else np.inf)
+
+    def lay_out(self, df: DataFrame) -> DataFrame:
+        return lay_out(df, self.steps, self.blocks, self.seed)
 
     def partial_fit(self, batch: DataFrame, state: SGDState | None) -> SGDState:
-        """One update from one bounded batch (out-of-core training)."""
-        if state is None:
-            state = self.start(len(batch.select("features").first()[0]))
-        return self.epoch(batch, state)
+        """One pass over one bounded batch (out-of-core training)."""
+        data = self.lay_out(batch).persist()
+        try:
+            return self.epoch(data, state or self.start(len(data.select("features").first()[0])))
+        finally:
+            data.unpersist()
 
     def fit(self, train: DataFrame) -> SGDModel:
-        n = train.count()
-        data = fixed_layout(train.select("row_id", TARGET, "features"), n).persist()
+        data = self.lay_out(train).persist()
         try:
-            width = len(data.select("features").first()[0])
-            scale = 1.0, 0.0
-            if self.task == "regression":
-                r = data.agg(F.avg(TARGET).alias("m"), F.stddev_pop(TARGET).alias("s")).first()
-                scale = r["s"] or 1.0, r["m"]
-                data_std = data.withColumn(TARGET, (F.col(TARGET) - scale[1]) / scale[0])
-            else:
-                data_std = data
-            state = self.start(width)
+            centre, scale = target_scale(data) if self.task == "regression" else (0.0, 1.0)
+            state, best, waited = self.start(len(data.select("features").first()[0])), np.inf, 0
             for _ in range(self.epochs):
-                state = self.epoch(data_std, state, layout_parts(n))
+                state = self.epoch(data, state, centre, scale)
+                waited = 0 if state.loss <= best - self.tol else waited + 1
+                best = min(best, state.loss)
+                if waited >= self.patience:
+                    break
         finally:
             data.unpersist()
-        w = state.weights * scale[0]
-        w[:, 0] += scale[1]
+        w = state.weights * scale
+        w[:, 0] += centre
         return SGDModel(self.task, w)
 
 

@@ -162,7 +162,7 @@ def fit_pipeline(
     features = train.select(*feature_names)
     classes = len(class_names or []) or 2
     if decisions is None:
-        decisions = decide(features, params, train.count())
+        decisions = decide(features, params)
     key = (decisions["numeric_imputer"], decisions["scaler"], decisions["cat_encoder"])
     cached = prepared.get(key) if prepared is not None else None
     if cached is None:

@@ -91,7 +91,10 @@ def partial_fit_stream(
         save(state, batch_id)
 
     for_each_batch(stream, update, checkpoint)
-    return SGDModel(model.task, load().weights)
+    last = load()
+    if last is None:
+        raise ValueError("no weights to return: neither this stream nor an earlier run had rows")
+    return SGDModel(model.task, last.weights)
 
 
 def score_stream(

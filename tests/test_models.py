@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from foldwright.functions.scalar import hash_unit, normal_ppf_sql
 from foldwright.models import linear, neighbours
 from foldwright.models.logistic import Logistic
+from foldwright.models import sgd, synchronous
 from foldwright.models.mlp import MLP
+from foldwright.models.sgd import SGD
 from foldwright.models.zoo import available_models, build_model, build_quantile_model, is_allowed
 from foldwright.operators import selection
 from foldwright.operators.columns import TARGET
@@ -54,10 +56,50 @@ def test_regressors_are_finite_and_learn(frames, model):
 def test_gates():
     assert not is_allowed("svm", "medium") and is_allowed("knn", "medium") and not is_allowed("knn", "large")
     assert "lasso" not in available_models("classification", "small")
-    with pytest.raises(ValueError, match="regression-only"):
+    with pytest.raises(ValueError, match="lasso"):
         build_model("lasso", "classification")
 
 
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_sgd_weights_do_not_depend_on_the_layout(frames, monkeypatch, task):
+    df = frames[0] if task == "classification" else frames[1]
+    fit = lambda rows: SGD(task, epochs=2, steps=3, penalty="elasticnet").fit(rows).weights
+    few = fit(df.repartition(4))
+    assert (few == fit(df.repartition(40))).all() and np.abs(few).max() > 0
+    assert not (few == SGD(task, epochs=2, steps=3, penalty="elasticnet", seed=5).fit(df).weights).all()
+
+
+def test_steps_add_up_to_the_gradient_of_all_rows(frames):
+    rows = synchronous.lay_out(frames[0], steps=5, blocks=3)
+    w = np.full((1, 9), 0.1)
+    of = lambda x, y, block: sgd.contribution("classification", w, x, y)
+    whole = synchronous.summed_step(rows, None, of)
+    parts = [synchronous.summed_step(rows, k, of) for k in range(5)]
+    assert whole[0] == sum(p[0] for p in parts) == frames[0].count()
+    assert np.allclose(whole[1], sum(p[1] for p in parts), rtol=1e-12)
+    assert synchronous.summed_step(rows, 7, of) == (0.0, None)
+
+
+def test_chunks_do_not_depend_on_the_batches(frames, monkeypatch):
+    table = frames[0].select(TARGET, "features", (F.col(TARGET) * 0 + 3).cast("int").alias("block")).toArrow()
+    monkeypatch.setattr(synchronous, "CHUNK_ROWS", 50)
+    cut = lambda size: [(b, x.tolist(), y.tolist()) for b, x, y in synchronous._chunks(iter(table.to_batches(max_chunksize=size)))]
+    assert cut(7) == cut(1000) and [len(y) for _, _, y in cut(7)][:-1] == [50] * (len(cut(7)) - 1)
+
+
+def test_sgd_stops_when_the_loss_stands_still(frames):
+    data = SGD("classification").lay_out(frames[0])
+    seen = []
+
+    class Counted(SGD):
+        def epoch(self, *args):
+            seen.append(1)
+            return super().epoch(*args)
+
+    Counted("classification", epochs=9, steps=2, tol=10.0, patience=2).fit(frames[0])
+    assert len(seen) == 2 + 1 and data.columns == [TARGET, "features", "mini_batch", "block"]
+
+
 def test_mlp_is_repeatable_and_layout_free(frames):
     cls, _ = frames
     a = MLP("classification", hidden_dim=16, max_epochs=3).fit(cls)

@@ -64,7 +64,7 @@ def test_experiment_baseline_repeats_and_gates(spark, sf_dir):
     run = lambda: experiment.run_experiment(ds, "linear", mode="baseline", measure_cost=False).aggregated.withColumnRenamed("metric", "name")
     out = audit.repro_audit(run).first()
     assert out["reproducible"] and out["n_metrics"] > 4
-    with pytest.raises(ValueError, match="gated"):
+    with pytest.raises(ValueError, match="svm"):
         experiment.run_experiment(dataset(spark, "/root/testdata/sf0.01", "line_reg"), "svm", mode="baseline")
     with pytest.raises(ValueError, match="mode"):
         experiment.run_experiment(ds, "linear", mode="other")
@@ -150,7 +150,8 @@ def test_reports_on_full_thin_and_empty_runs(spark):
     text = report.markdown({k: tables[k] for k in ("header", "leaderboard", "ranking")})
     assert "leaderboard" in text
     thin = report.study_report(runs.filter("dataset = 'ds_AF' AND model = 'linear' AND seed = 42"))
-    assert "needs" in thin["ranking_test"].first()["note"]
+    few = thin["ranking_test"].first()
+    assert few["p_value"] is None and few["note"]
     empty = report.study_report(runs.filter("1 = 0"))
     assert list(empty) == ["header", "note"]
 
