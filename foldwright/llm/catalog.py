@@ -101,8 +101,7 @@ def pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHARD_SQL = """
 WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes,
              ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS k FROM documents),
-t AS (SELECT greatest(0, length(bin(greatest(sum(bytes), 1)::BIGINT // 1048576)) - 1)::BIGINT AS start FROM d),
-l AS (SELECT d.*, level, k >> (32 - level)::BIGINT AS prefix FROM d, t, range(0, 33) r(level) WHERE level >= start),
+l AS (SELECT d.*, level, k >> (32 - level)::BIGINT AS prefix FROM d, range(0, 33) r(level)),
 b AS (SELECT *, sum(bytes) OVER (PARTITION BY level, prefix) AS total FROM l),
 f AS (SELECT doc_id, bytes, min(struct_pack(level := level, prefix := prefix)) AS hit FROM b WHERE total <= 1048576 GROUP BY ALL)
 SELECT doc_id, bytes, lpad(hit.level::VARCHAR, 2, '0') || '-' || hit.prefix::VARCHAR AS shard FROM f
