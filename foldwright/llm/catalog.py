@@ -70,7 +70,7 @@ _MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
              (('0x' || substr(md5('20' || chr(31) || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
            FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, sum(greatest(least(size, 1000)::DOUBLE, 1e-9::DOUBLE)) AS wishes FROM d GROUP BY source),
 t AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM s),
 w AS (SELECT *, CASE turn % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
         (3 * source_size)::DOUBLE AS most FROM t),
@@ -78,10 +78,10 @@ c AS (SELECT *, sum(source_size) OVER ()::DOUBLE AS total,
         coalesce(sum(most) OVER (ORDER BY most / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS capped,
         (sum(weight) OVER (ORDER BY most / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS open FROM w),
 l AS (SELECT total - capped AS room, open FROM c WHERE weight * (total - capped) / open <= most ORDER BY most / weight, turn LIMIT 1),
-g AS (SELECT c.source, c.source_size, coalesce(least(most, weight * (SELECT room FROM l) / (SELECT open FROM l)), most) AS target FROM c),
+g AS (SELECT c.source, c.source_size, c.n, c.wishes, coalesce(least(most, weight * (SELECT room FROM l) / (SELECT open FROM l)), most) AS target FROM c),
 h AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM g),
 k AS (SELECT *, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS part, target - floor(ratio) * source_size AS room FROM h),
-p AS (SELECT d.doc_id, d.size, k.*, least(greatest(part, 1e-12::DOUBLE), 1::DOUBLE - 1e-12::DOUBLE) AS p, u
+p AS (SELECT d.doc_id, d.size, k.*, least(greatest(part * greatest(least(size, 1000)::DOUBLE, 1e-9::DOUBLE) * n / wishes, 1e-12::DOUBLE), 1::DOUBLE - 1e-12::DOUBLE) AS p, u
       FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
 q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q FROM p),
 r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q)
@@ -94,7 +94,7 @@ FROM r
 @query("op7_pareto_mix", _MIX_SQL)
 def pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix_by_length(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

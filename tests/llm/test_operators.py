@@ -424,8 +424,30 @@ def test_mixing(spark):
     assert all(r.taken == r.copies * r.size and 0 <= r.copies <= 3 for r in out)
     again = mixing.mix_sources(docs.repartition(3)).collect()
     assert {(r.doc_id, r.taken) for r in out} == {(r.doc_id, r.taken) for r in again}
-    mixed = mixing.mixed_rows(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
+    mixed, weighed = mixing.mixed_rows(docs), mixing.mix_by_length(docs).collect()
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in weighed)
+    for s in sizes:
+        mine = [r for r in weighed if r.source == s]
+        assert abs(sum(r.taken for r in mine) - want[s]) <= max([r.size for r in mine] or [0]) / 2 + 1e-6
+
+
+def test_mixing_draws_equal_rows_exactly_in_any_layout(spark):
+    """The cut falls among repeated rows: what is taken is within half a row of the target, whatever the layout."""
+    rows = [(1, "one two three", "en", "a")] * 6000 + [(2, "four five", "en", "b")] * 900 + [(i, prose(i, 40), "en", "b") for i in range(3, 60)]
+    rows += [(None, "no id at all", None, None)] * 2000
+    seen = set()
+    for parts in (1, 2, 5):
+        out = mixing.mix_by_length(table(spark, rows).repartition(parts, F.rand(parts)), weights=(4, 1, 2)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("rows")).collect()
+        assert sum(r.rows for r in out) == len(rows) and all(abs(r.taken - r.target) <= {"a": 1.5, None: 2.0}.get(r.source, 20) for r in out)
+        seen.add(tuple(sorted((r.source or "", r.taken) for r in out)))
+    assert len(seen) == 1
+
+
+def test_longer_documents_are_likelier_in_the_mix(spark):
+    rows = [(i, " ".join(["w"] * (10 if i % 2 else 100)), "en", "ab"[i % 4 // 2]) for i in range(4000)]
+    out = mixing.mix_by_length(table(spark, rows), weights=(3, 1)).where("source = 'b'").groupBy("size").agg(F.avg("copies").alias("c")).collect()
+    share = {r["size"]: r.c for r in out}
+    assert share[100] > 2 * share[10] > 0
 
 
 def test_mixing_with_inclusion_weights(spark):
