@@ -26,6 +26,7 @@ from foldwright.session import cut_lineage, ship_package
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: RFC 4648 base 32, and the digits of conv() to base 32.
 BASE32, DIGITS32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -64,8 +65,8 @@ def _record_id(page: str) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("none")), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes the pages as WARC files below path; see plan_records for which are revisits.
+def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes the pages as WARC files below path; see plan_records for which are revisits. date is every WARC-Date.
 
     Every task writes its records to files of its own. Line breaks in a url are percent-encoded. Other columns
     are ignored; an empty table gives no records.
@@ -78,6 +79,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
         F.col("record_type"),
         F.lit("\r\nWARC-Record-ID: "),
         _record_id("page_id"),
+        F.lit(f"\r\nWARC-Date: {date}"),
+        F.when(F.col("record_type") == "revisit", F.lit(f"\r\nWARC-Profile: {PROFILE}")).otherwise(F.lit("")),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), url), F.lit("")),
         F.coalesce(F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">")), F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
@@ -222,7 +225,12 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     if with_payload or not parts.isEmpty():
         values = _pieces(spark, path).join(keys, ["file", "split", "place"])
         joined = values.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
-        joined = joined.select("file", F.col("owner").alias("offset"), F.array_join("parts.value", MAGIC).alias("value"))
+        # the second reading cuts the files as the first did; if the cluster changed in between and it does not, the
+        # job stops instead of losing a record
+        expected = keys.groupBy("file", "owner").agg(F.count("*").alias("expected"))
+        whole_record = F.when(F.size("parts") == F.col("expected"), F.array_join("parts.value", MAGIC))
+        stop = F.raise_error(F.lit("the archives were cut in another way when they were read again: run it once more")).cast("string")
+        joined = expected.join(joined, ["file", "owner"], "left").select("file", F.col("owner").alias("offset"), F.coalesce(whole_record, stop).alias("value"))
         again = _opened(joined).join(records.select("file", F.col("at").alias("offset"), "length"), ["file", "offset"])
         again = again.where(F.octet_length("value") + len(MAGIC) == F.col("length"))
         again = again.select("file", "offset", *FIELDS, F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "payload")
