@@ -39,9 +39,9 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CONTAINED_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s
-       FROM d WHERE len(w) > 0),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+z AS (SELECT DISTINCT least(len(w), 5) AS z FROM i WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + z - 1], ' ') FOR i IN range(1, len(w) - z + 2)]) AS s FROM d, z WHERE len(w) >= z),
 isx AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s
         FROM i WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) AS item_shingles FROM isx GROUP BY item_id),

@@ -123,12 +123,25 @@ def _document_batches(size: int, uppers: list[int], known: Broadcast, bits: int)
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, shingle_words: int = W.SHINGLE_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, th, item_id, containment, shared, item_shingles): items(item_id, text) inside docs(doc_id, text).
 
-    containment is the share of the item's distinct word shingles that the whole text has, threshold or more.
+    containment is the share of the item's distinct word shingles that the whole text has, threshold or more. An item
+    of fewer words than a shingle is one shingle of all its words, and the documents' shingles of so many words are
+    looked through for it, in a pass for each such length that occurs.
     Repeated rows of a document (same doc_id and text) or of an item give one row. Null texts and texts without
-    words are never contained in anything and contain nothing; a text of fewer words than a shingle is one shingle,
-    so such an item is found only in a text of the same words. Null ids are kept as null. Other columns are ignored;
-    an empty table on either side gives no rows.
+    words are never contained in anything and contain nothing. Null ids are kept as null. Texts may have any length.
+    Other columns are ignored; an empty table on either side gives no rows.
     """
+    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    counted = cut_lineage(items.where("text is not null").select("item_id", "text", F.least(words, F.lit(shingle_words)).alias("words")))
+    lengths = sorted(r["words"] for r in counted.where("words > 0").select("words").distinct().collect())
+    found = None
+    for size in lengths or [shingle_words]:
+        one = _contained(docs, counted.where(F.col("words") == size).drop("words"), threshold, size, filter_bits)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _contained(docs: DataFrame, items: DataFrame, threshold: float, shingle_words: int, filter_bits: int) -> DataFrame:
+    """contained_items for items of at least as many words as a shingle."""
     spark = ship_package(docs.sparkSession)
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     listed = listed.withColumn("item", F.xxhash64("item_id", "text"))
