@@ -5,7 +5,9 @@ their label. The class prior is estimated from the two samples' score distributi
 unlabelled to the positive share above a threshold. A small network on text features is then fitted to the unbiased
 risk, whose negative part is held at zero or more: where it would turn negative, the step goes the other way.
 
-Each sample is bounded (``SAMPLE_ROWS``, the rows of smallest seeded hash); everything else covers all rows.
+The rows that a network is fitted on are bounded samples (``SAMPLE_ROWS``, the rows of smallest seeded hash of id and
+text). The class prior is a statistic of the corpus: a plain network, fitted on one half of the rows, scores all rows
+of the other half in Spark, and the prior comes from the counts of their scores.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,6 +33,8 @@ EPOCHS = 60
 BATCH = 1000
 #: Share of a sample above a threshold that counts in the prior's estimate at least.
 LEAST_SHARE = 0.05
+#: Scores are counted in so many bins of the margin, which is cut at +-MARGIN.
+SCORE_BINS, MARGIN = 4000, 20.0
 
 _KINDS: list[np.ndarray] = []
 
@@ -118,19 +122,25 @@ class QualityModel:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = LEAST_SHARE) -> float:
-    """Upper bound of the share of positives among the unlabelled: the smallest ratio of the two samples' shares in
-    any upper or lower tail of a score that holds at least ``least`` of the positives, widened by a standard error."""
-    best = 1.0
-    cuts = np.quantile(positive, np.linspace(least, 1 - least, 200))
-    for sign in (1, -1):
-        for cut in cuts:
-            p, u = (sign * positive >= sign * cut).mean(), (sign * unlabelled >= sign * cut).mean()
-            if p >= least:
-                error = np.sqrt(u * (1 - u) / len(unlabelled)) + np.sqrt(p * (1 - p) / len(positive))
-                best = min(best, (u + error) / p)
+    """Upper bound of the share of positives among the unlabelled: the smallest ratio of the two shares in any upper
+    or lower tail of a score that holds at least ``least`` of the positives, widened by a standard error.
+
+    positive and unlabelled count the rows in each bin of the score, in the bins' order.
+    """
+    best, n_p, n_u = 1.0, positive.sum(), unlabelled.sum()
+    for flip in (1, -1):
+        p, u = np.cumsum(positive[::flip]) / n_p, np.cumsum(unlabelled[::flip]) / n_u
+        error = np.sqrt(u * (1 - u) / n_u) + np.sqrt(p * (1 - p) / n_p)
+        fit = (p >= least) & (p <= 1 - least)
+        if fit.any():
+            best = min(best, float(((u + error)[fit] / p[fit]).min()))
     return float(np.clip(best, 0.05, 0.99))
 
 
+def margin_bins(margins: np.ndarray) -> np.ndarray:
+    return np.clip((margins + MARGIN) / (2 * MARGIN) * SCORE_BINS, 0, SCORE_BINS - 1).astype(np.int64)
+
+
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 7) -> QualityModel:
     """Adam on mini-batches. With a prior the non-negative risk, without one plain positive against unlabelled."""
     everything = np.concatenate([positive, unlabelled])
@@ -182,42 +192,72 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), FEATURES).cast(pa.list_(pa.float64()))], names=["features"])
 
 
+def _draw() -> Column:
+    """A row's seeded hash; equal rows share it, rows of one id or of null ids do not."""
+    return F.xxhash64("doc_id", "text", F.lit("quality"))
+
+
 def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """Features of at most ``most`` rows: those whose seeded hash is below the share that the count asks for."""
+    """Features of at most about ``most`` texts: those whose hash is below the share that the count asks for."""
     count = rows.count()
     if count > most:
-        share = most / count
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 40)) < int(share * (1 << 40)))
+        rows = rows.where(F.pmod(F.shiftrightunsigned("__draw", 1), F.lit(1 << 40)) < int(most / count * (1 << 40)))
+    rows = rows.dropDuplicates(["__draw"])  # however often one text repeats, it comes once
     found = rows.select("text").mapInArrow(_feature_batches, "features array<double>").toArrow()
     return found.column("features").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
 
 
+def _score_counts(rows: DataFrame, model: QualityModel) -> np.ndarray:
+    """How many rows have their margin in each bin; one table of bins a task, added up by Spark."""
+    known = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SCORE_BINS, np.int64)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            if texts:
+                counts += np.bincount(margin_bins(known.value.margin(np.stack([text_features(t) for t in texts]))), minlength=SCORE_BINS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bin", "rows"])
+
+    out = np.zeros(SCORE_BINS, np.int64)
+    for r in rows.select("text").mapInArrow(run, "bin long, rows long").groupBy("bin").agg(F.sum("rows").alias("rows")).collect():
+        out[r["bin"]] = r["rows"]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """A model of docs(doc_id, text) and labels(doc_id, quality).
 
-    Positives are the documents with a label of quality 1 (several labels: any of them); the unlabelled sample is
-    drawn from all other documents. Null and empty texts teach nothing. Without positives or without unlabelled
-    texts every text scores 0.5.
+    Positives are the documents with a label of quality 1 (several labels: any of them); all other documents are
+    unlabelled. Null and empty texts teach nothing, and repeated rows teach once. Without positives or without
+    unlabelled texts every text scores 0.5; with too few to measure the prior on, it is 0.5.
     """
     ship_package(docs.sparkSession)
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    rows = docs.where("text is not null and text <> ''").select("doc_id", "text")
-    positive = _sample(rows.join(good, "doc_id", "left_semi"), sample_rows)
-    unlabelled = _sample(rows.join(good, "doc_id", "left_anti"), sample_rows)
-    if len(positive) < 2 or len(unlabelled) < 2:
+    rows = docs.where("text is not null and text <> ''").select("doc_id", "text").withColumn("__draw", _draw())
+    positive, unlabelled = rows.join(good, "doc_id", "left_semi"), rows.join(good, "doc_id", "left_anti")
+    p_all, u_all = _sample(positive, sample_rows), _sample(unlabelled, sample_rows)
+    if len(p_all) < 2 or len(u_all) < 2:
         zeros = np.zeros(FEATURES)
         return QualityModel(0.5, zeros, zeros + 1, np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0)
     # the prior's score must not have seen the rows it is measured on
-    plain = _fit(positive[::2], unlabelled[::2], None)
-    prior = estimate_prior(plain.margin(positive[1::2]), plain.margin(unlabelled[1::2]))
-    return _fit(positive, unlabelled, prior)
-
-
-def _score_batches(model: QualityModel, keys: list[str]):
+    fitted, measured = "(__draw & 1) = 0", "(__draw & 1) = 1"
+    p_half, u_half = _sample(positive.where(fitted), sample_rows), _sample(unlabelled.where(fitted), sample_rows)
+    prior = 0.5
+    if len(p_half) and len(u_half):
+        plain = _fit(p_half, u_half, None)
+        p_counts, u_counts = _score_counts(positive.where(measured), plain), _score_counts(unlabelled.where(measured), plain)
+        if p_counts.any() and u_counts.any():
+            prior = estimate_prior(p_counts, u_counts)
+    return _fit(p_all, u_all, prior)
+
+
+def _score_batches(known, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            score = model.score(np.stack([text_features(t) for t in texts])) if texts else np.zeros(0)
+            score = known.value.score(np.stack([text_features(t) for t in texts])) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keys, "score", "predicted"])
 
     return run
@@ -232,4 +272,4 @@ def score(docs: DataFrame, model: QualityModel, keys: list[str]) -> DataFrame:
     ship_package(docs.sparkSession)
     keys = [k for k in keys if k not in ("score", "predicted")]
     schema = StructType([docs.schema[k] for k in keys]).add("score", "double").add("predicted", "integer")
-    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(_score_batches(model, keys), schema)
+    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(model), keys), schema)

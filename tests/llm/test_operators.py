@@ -157,7 +157,7 @@ def test_containment(spark, edges, empty):
     for d, text, *_ in docs:
         for i, item in items:
             need = set(grams(item or ""))
-            share = len(need & set(grams(text or ""))) / len(need) if need else 0
+            share = len(need & set(grams(text or "", min(5, len(tokens(item or "")) or 5)))) / len(need) if need else 0
             if share >= 0.8:
                 want[d, i] = share
     assert got == want and len(want) > 12
@@ -223,7 +223,22 @@ def test_quality(spark, edges, empty):
 def test_prior_estimate():
     rnd = np.random.default_rng(1)
     positive, negative = rnd.normal(2, 1, 4000), rnd.normal(-2, 1, 2000)
-    assert quality.estimate_prior(positive, np.concatenate([rnd.normal(2, 1, 2000), negative])) == pytest.approx(0.5, abs=0.08)
+    counts = lambda margins: np.bincount(quality.margin_bins(margins), minlength=quality.SCORE_BINS)
+    assert quality.estimate_prior(counts(positive), counts(np.concatenate([rnd.normal(2, 1, 2000), negative]))) == pytest.approx(0.5, abs=0.08)
+
+
+def test_quality_samples_are_bounded_with_null_and_equal_ids(spark):
+    """Rows of one id, or of none, are drawn one by one; repeated rows come once, so the driver's sample stays bounded."""
+    rows = [(None, prose(i, 20), None, None) for i in range(600)] + [(None, "the same text", None, None)] * 500 + [(7, prose(i, 20), None, None) for i in range(600, 1200)]
+    docs = table(spark, rows).withColumn("__draw", quality._draw())
+    assert 10 < len(quality._sample(docs, 100)) < 160 and len(quality._sample(docs, 10_000)) == 1201
+
+
+def test_quality_prior_counts_every_measured_row(spark):
+    docs = table(spark, [(i, prose(i, 30), "en", "a") for i in range(300)] + [(None, "again", None, None)] * 40)
+    model = quality.QualityModel(0.5, np.zeros(quality.FEATURES), np.ones(quality.FEATURES), np.zeros((quality.FEATURES, quality.HIDDEN)), np.zeros(quality.HIDDEN), np.zeros(quality.HIDDEN), 1.0)
+    counts = quality._score_counts(docs.repartition(7), model)
+    assert counts.sum() == 340 and counts[quality.margin_bins(np.array([1.0]))[0]] == 340
 
 
 def removed_lines_by_brute_force(docs, prints):
