@@ -17,7 +17,7 @@ from foldwright.models.synchronous import lay_out, summed_step
 from foldwright.models.zoo import build_model, build_quantile_model
 from foldwright.operators import metrics, preprocess, selection, splits
 from foldwright.operators.columns import TARGET, encode_target
-from foldwright.plans import audit, experiment, scaling, search
+from foldwright.plans import audit, experiment, objective, scaling, search
 from foldwright.sources.config import search_space
 from foldwright.sources.datasets import Dataset, dataset, table
 
@@ -393,13 +393,33 @@ def experiment_costs(spark, sf_dir):
 
 @query("experiment_automated_search")
 def experiment_automated(spark, sf_dir):
-    """Search with a tiny budget on one outer fold, then refit and score."""
-    budget = {"n_trials": 2, "timeout_s": 60, "inner_folds": 2}
+    """Search on one outer fold, beyond the start-up trials and without a time limit, then refit and score."""
+    budget = {"n_trials": 6, "timeout_s": float("inf"), "inner_folds": 2}
     e = experiment.run_experiment(
         dataset(spark, sf_dir, "part_reg"), "linear", mode="automated", budget=budget, measure_cost=False, folds=[0])
     return e.aggregated.filter(~F.col("metric").contains("seconds"))
 
 
+_TRIAL_ALPHAS = (0.0001, 0.01, 1.0, 10.0, 100.0, 1000.0, 10000.0, 100000.0)
+
+
+@query("search_trial_scores", with_cte("line_reg", extra=_FOLDED.split(",\n  w AS")[0].replace("% 5", "% 3").replace("[0, 1, 2, 3, 4]", "[0, 1, 2]").replace("l_extendedprice", "l_quantity")) + f"""SELECT cast(t AS INTEGER) AS trial, fold,
+  round(-sqrt(avg((__target__ - (my - mx * sxy / (sxx + alpha)) - sxy / (sxx + alpha) * (l_quantity - c) / sd) ** 2)), 3) AS score
+  FROM f JOIN p ON p.s = fold JOIN m ON m.s = fold, (SELECT unnest({list(range(len(_TRIAL_ALPHAS)))}) AS t, unnest({list(_TRIAL_ALPHAS)}) AS alpha) GROUP BY t, fold""")
+def search_trial_scores(spark, sf_dir):
+    """Eight ridge trials on three inner folds: every score from the Gram blocks of each fold's two sides."""
+    df = dataset(spark, sf_dir, "line_reg").df.select("row_id", "l_quantity", TARGET)
+    folded = splits.kfold(df, 42, "regression", 3).persist()
+    pairs = [splits.fold_sides(folded, fold) for fold in range(3)]
+    base = {"numeric_imputer": "mean", "scaler": "standard", "cat_encoder": "onehot"}
+    search_of = objective.Objective(pairs, "regression", "linear", 42, [], base)
+    trials = [(t, {"model.alpha": a}) for t, a in enumerate(_TRIAL_ALPHAS)]
+    out = [(t, fold, round(score, 3)) for fold in range(3) for t, score in search_of.scores(fold, trials).items()]
+    search_of.close()
+    folded.unpersist()
+    return spark.createDataFrame(out, "trial int, fold int, score double")
+
+
 @query("search_proposed_trials")
 def search_proposed(spark, sf_dir):
     """Proposals from a history whose values come from the tables."""

@@ -28,7 +28,7 @@ from foldwright.operators.traits import resolve_auto, traits
 from foldwright.session import scratch_path
 
 
-def _part(params: Mapping[str, object], prefix: str) -> dict[str, object]:
+def params_part(params: Mapping[str, object], prefix: str) -> dict[str, object]:
     return {k[len(prefix) + 1 :]: v for k, v in params.items() if k.startswith(prefix + ".")}
 
 
@@ -137,7 +137,7 @@ def decide(
     features: DataFrame, params: Mapping[str, object]
 ) -> dict[str, object]:
     """Preprocessing structure: pinned choices from params, the rest from the traits."""
-    prep = _part(params, "prep")
+    prep = params_part(params, "prep")
     pinned = {k: str(prep.get(k, "auto")) for k in ("numeric_imputer", "scaler", "cat_encoder")}
     return resolve_auto(traits(features), **pinned).first().asDict(recursive=True)
 
@@ -150,13 +150,10 @@ def fit_pipeline(
     seed: int,
     class_names: list[str] | None = None,
     decisions: dict[str, object] | None = None,
-    prepared: dict | None = None,
 ) -> FittedPipeline:
     """Fit on training rows (row_id, features..., encoded target).
 
-    ``decisions`` reuses the structure chosen on an outer training set;
-    ``prepared`` caches fitted preprocessing by its parameters, so trials that
-    share it do not fit it again.
+    ``decisions`` reuses the structure chosen on an outer training set.
     """
     feature_names = [c for c in train.columns if c not in ("row_id", TARGET, "fold")]
     features = train.select(*feature_names)
@@ -164,26 +161,17 @@ def fit_pipeline(
     if decisions is None:
         decisions = decide(features, params)
     key = (decisions["numeric_imputer"], decisions["scaler"], decisions["cat_encoder"])
-    cached = prepared.get(key) if prepared is not None else None
-    if cached is None:
-        numeric, categorical = split_columns(features)
-        prep = Preprocessor(
-            numeric, categorical, task, *key, seed=seed, classes=classes
-        ).fit(train)
-        ready = prep.transform(train, training=True).persist()
-        if prepared is not None:
-            prepared[key] = (prep, ready)
-    else:
-        prep, ready = cached
-    select = _part(params, "select")
+    numeric, categorical = split_columns(features)
+    prep = Preprocessor(numeric, categorical, task, *key, seed=seed, classes=classes).fit(train)
+    ready = prep.transform(train, training=True).persist()
+    select = params_part(params, "select")
     kept = select_features(
         ready, str(select.get("strategy", "none")), task, classes,
         int(float(select.get("percentile", 50))), float(select.get("n_features_fraction", 0.5)), seed,
     )
     data = ready if kept is None else keep_positions(ready, kept)
     try:
-        fitted = build_model(model, task, seed, _part(params, "model"), classes).fit(data)
+        fitted = build_model(model, task, seed, params_part(params, "model"), classes).fit(data)
     finally:
-        if prepared is None:
-            ready.unpersist()
+        ready.unpersist()
     return FittedPipeline(task, prep, kept, fitted, class_names or [], decisions)

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwright.models.sgd import SGD
+from foldwright.operators import splits
 from foldwright.operators.columns import TARGET, encode_target
 from foldwright.operators.traits import skewness_table
 from foldwright.operators.validate import validate, validate_all
-from foldwright.plans import audit, benchmark, experiment, pipeline, report, scaling, search
+from foldwright.plans import audit, benchmark, experiment, objective, pipeline, report, scaling, search
 from foldwright.sources import cache, config, modelstore, runstore, scan
 from foldwright.sources.datasets import dataset, study_runs, table
 from foldwright.sources.registry import DatasetSpec
@@ -237,11 +238,35 @@ def test_large_tier_rungs_and_stop_rules(spark, sf_dir):
     sizes = [(a.count(), b.count()) for a, b in pairs]
     assert kind == "last" and sizes[1][0] + sizes[1][1] == n and sizes[0][1] == sizes[1][1]
     assert sizes[0][0] == sizes[1][0] // 4
-    reports = {t: [v, v + 0.1] for t, v in enumerate([0.1, 0.2, 0.3, 0.4, 0.05, 0.35])}
-    steps = spark.createDataFrame([("s", t, i, v) for t, r in reports.items() for i, v in enumerate(r)],
-                                  "study string, trial int, step int, reported double")
-    marked = {(r["trial"], r["step"]): bool(r["pruned"]) for r in search.median_prune(steps, ["study"]).collect()}
-    for trial in reports:
-        seen = {t: r[:2] for t, r in reports.items() if t <= trial}
-        assert experiment._stops(trial, 1, seen, "mean") == marked[trial, 1]
-    assert not any(v for (_, step), v in marked.items() if step == 0)
+    reports = [(t, step, v + 0.1 * step) for t, v in enumerate([0.1, 0.2, 0.3, 0.4, 0.05, 0.35]) for step in range(2)]
+    assert experiment.stopped_trials(spark, reports, 0, "mean") == set()
+    assert experiment.stopped_trials(spark, reports, 1, "mean") == {4}  # below the median of the four before it
+    assert experiment.stopped_trials(spark, reports, 0, "last") == {0, 1, 2, 4, 5} and experiment.stopped_trials(spark, reports, 1, "last") == set()
+
+
+def one_by_one(pairs, ds, model, base, trials, names):
+    out = {}
+    for step, (part, validation) in enumerate(pairs):
+        for trial, params in trials:
+            chosen = {**base, **pipeline.params_part(params, "prep")}
+            out[trial, step] = experiment._score(pipeline.fit_pipeline(part, ds.task, model, params, 1, names, chosen), validation)
+    return out
+
+
+@pytest.mark.parametrize(("name", "model", "choices"), [
+    ("part_reg", "linear", [{"model.alpha": 0.1}, {"model.alpha": 500.0}, {"model.alpha": 3.0, "prep.scaler": "robust"}, {"model.alpha": 3.0, "select.strategy": "filter"}]),
+    ("part_reg", "lasso", [{"model.alpha": 0.1}, {"model.alpha": 20.0}]),
+    ("doc_quality", "knn", [{"model.n_neighbors": 3}, {"model.n_neighbors": 9, "model.weights": "distance"}]),
+    ("doc_quality", "hist_gb", [{"model.max_iter": 2, "model.max_depth": 3}, {"model.max_iter": 4, "model.max_depth": 3}, {"model.max_iter": 2, "model.max_depth": 2}]),
+])
+def test_batched_scores_equal_trial_by_trial(spark, sf_dir, name, model, choices):
+    ds = dataset(spark, sf_dir, name)
+    rows, names, _ = experiment.prepare_rows(ds)
+    folded = splits.kfold(rows, 3, ds.task, 2).persist()
+    pairs = [splits.fold_sides(folded, i) for i in range(2)]
+    base = {"numeric_imputer": "mean", "scaler": "standard", "cat_encoder": "onehot"}
+    trials = list(enumerate(choices))
+    batched = objective.Objective(pairs, ds.task, model, 1, names, base)
+    got = {(t, step): score for step in range(2) for t, score in batched.scores(step, trials).items()}
+    batched.close()
+    assert got == pytest.approx(one_by_one(pairs, ds, model, base, trials, names), rel=1e-8)
