@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from foldwright.llm import words as W
+from foldwright.llm.rows import key_filter, with_maybe
 from foldwright.session import ship_package
 
 #: Most positives, and most unlabelled texts, that a model is fitted on.
@@ -207,23 +208,26 @@ def _sample(rows: DataFrame, most: int) -> np.ndarray:
     return found.column("features").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
 
 
-def _score_counts(rows: DataFrame, model: QualityModel) -> np.ndarray:
-    """How many rows have their margin in each bin; one table of bins a task, added up by Spark."""
+def _score_counts(rows: DataFrame, good: DataFrame, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the rows that good(doc_id) names, and of the others, have their margin in each bin.
+
+    Texts are scored where they are read; only ids and bins are joined and added up.
+    """
     known = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SCORE_BINS, np.int64)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            if texts:
-                counts += np.bincount(margin_bins(known.value.margin(np.stack([text_features(t) for t in texts]))), minlength=SCORE_BINS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bin", "rows"])
-
-    out = np.zeros(SCORE_BINS, np.int64)
-    for r in rows.select("text").mapInArrow(run, "bin long, rows long").groupBy("bin").agg(F.sum("rows").alias("rows")).collect():
-        out[r["bin"]] = r["rows"]
-    return out
+            margins = known.value.margin(np.stack([text_features(t) for t in texts])) if texts else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(margin_bins(margins).astype(np.int32))], names=["doc_id", "bin"])
+
+    schema = StructType([rows.schema["doc_id"]]).add("bin", "integer")
+    each = rows.select("doc_id", "text").mapInArrow(run, schema).groupBy("doc_id", "bin").agg(F.count("*").alias("rows"))
+    marked = each.join(good.withColumn("good", F.lit(1)), "doc_id", "left").groupBy(F.col("good").isNotNull().alias("good"), "bin")
+    out = np.zeros((2, SCORE_BINS), np.int64)
+    for r in marked.agg(F.sum("rows").alias("rows")).collect():
+        out[int(r["good"]), r["bin"]] = r["rows"]
+    return out[1], out[0]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
@@ -236,7 +240,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     ship_package(docs.sparkSession)
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     rows = docs.where("text is not null and text <> ''").select("doc_id", "text").withColumn("__draw", _draw())
-    positive, unlabelled = rows.join(good, "doc_id", "left_semi"), rows.join(good, "doc_id", "left_anti")
+    # a bounded filter keeps almost all other texts from being shuffled to find the positives
+    key = F.xxhash64("doc_id")
+    likely = with_maybe(rows, key, key_filter(good.select(key.alias("key")))).where("__maybe").drop("__maybe")
+    positive, unlabelled = likely.join(good, "doc_id", "left_semi"), rows.join(good, "doc_id", "left_anti")
     p_all, u_all = _sample(positive, sample_rows), _sample(unlabelled, sample_rows)
     if len(p_all) < 2 or len(u_all) < 2:
         zeros = np.zeros(FEATURES)
@@ -247,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     prior = 0.5
     if len(p_half) and len(u_half):
         plain = _fit(p_half, u_half, None)
-        p_counts, u_counts = _score_counts(positive.where(measured), plain), _score_counts(unlabelled.where(measured), plain)
+        p_counts, u_counts = _score_counts(rows.where(measured), good, plain)
         if p_counts.any() and u_counts.any():
             prior = estimate_prior(p_counts, u_counts)
     return _fit(p_all, u_all, prior)

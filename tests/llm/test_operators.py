@@ -237,8 +237,9 @@ def test_quality_samples_are_bounded_with_null_and_equal_ids(spark):
 def test_quality_prior_counts_every_measured_row(spark):
     docs = table(spark, [(i, prose(i, 30), "en", "a") for i in range(300)] + [(None, "again", None, None)] * 40)
     model = quality.QualityModel(0.5, np.zeros(quality.FEATURES), np.ones(quality.FEATURES), np.zeros((quality.FEATURES, quality.HIDDEN)), np.zeros(quality.HIDDEN), np.zeros(quality.HIDDEN), 1.0)
-    counts = quality._score_counts(docs.repartition(7), model)
-    assert counts.sum() == 340 and counts[quality.margin_bins(np.array([1.0]))[0]] == 340
+    p, u = quality._score_counts(docs.repartition(7), docs.where("doc_id < 50").select("doc_id"), model)
+    at = quality.margin_bins(np.array([1.0]))[0]
+    assert p.sum() == p[at] == 50 and u.sum() == u[at] == 290
 
 
 def removed_lines_by_brute_force(docs, prints):
