@@ -11,7 +11,7 @@ buckets, works inside the buckets, and adds the totals of the earlier buckets:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +84,45 @@ def seeded_rank(
     )
 
 
+def rank_cuts(
+    df: DataFrame,
+    seed: int,
+    wanted: Callable[[DataFrame], DataFrame],
+    group: Sequence[str] = (),
+    key: str = "row_id",
+    expected_rows: int | None = None,
+) -> DataFrame:
+    """(group..., ..., cut): the place of the wanted ranks in the seeded order of each group, see seeded_place.
+
+    ``wanted`` gets the group sizes (group..., group_n) and adds the columns rank and any other. The rows of df are counted
+    by hash prefix; only those that share a prefix with a wanted rank are ranked, so no row is shuffled for lying before
+    or after it. Ranks above a group's size are cut down to it. Group columns must not be NULL.
+    """
+    group = list(group) or ["_all"]
+    base = df if "_all" not in group else df.withColumn("_all", F.lit(0))
+    keyed = base.select(*group, seeded_place(seed, key).alias("_place"))
+    keyed = keyed.withColumn("_bucket", F.substring("_place.hash", 1, prefix_digits(expected_rows)))
+    counts = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    in_group = Window.partitionBy(*group)
+    upto = in_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The bucket table holds at most 16^digits rows per group.
+    counts = counts.withColumns({"_upto": F.sum("_n").over(upto), "group_n": F.sum("_n").over(in_group)})
+    asked = wanted(counts.select(*group, "group_n").distinct()).drop("group_n").join(counts, group)
+    rank = F.least("rank", "group_n")
+    inside = asked.where((rank > F.col("_upto") - F.col("_n")) & (rank <= F.col("_upto")))
+    inside = cut_lineage(inside.withColumn("_local", (rank - F.col("_upto") + F.col("_n")).cast("int")).drop("_n", "_upto", "group_n"))
+    spots = [*group, "_bucket"]
+    near = keyed.join(F.broadcast(inside.select(*spots).distinct()), spots, "left_semi")
+    local = F.row_number().over(Window.partitionBy(*spots).orderBy("_place"))
+    hits = near.withColumn("_local", local).join(F.broadcast(inside), [*spots, "_local"])
+    return hits.withColumnRenamed("_place", "cut").drop("_bucket", "_local", "_all")
+
+
+def seeded_place(seed: int, key: str = "row_id") -> Column:
+    """A row's place in the seeded order: its hash, ties by the key."""
+    return F.struct(seeded_hash(seed, key).alias("hash"), F.col(key).alias("key"))
+
+
 def value_rows(
     df: DataFrame, columns: Sequence[str], weights: dict[str, Column] | None = None
 ) -> DataFrame:

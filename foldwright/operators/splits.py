@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.operators.columns import TARGET
-from foldwright.operators.ordering import seeded_rank
+from foldwright.operators.ordering import rank_cuts, seeded_place, seeded_rank
+from foldwright.session import cut_lineage
 from foldwright.sources.registry import MEDIUM_BELOW
 
 OUTER_FOLDS = 5
@@ -111,16 +112,24 @@ def stratified_subset(
 ) -> DataFrame:
     """``n`` rows, proportional per class, at least one per class, exactly ``n`` in all."""
     group = _strata(task, target)
-    ranked = seeded_rank(df, seed, group)
+
+    def quotas(sizes: DataFrame) -> DataFrame:
+        if not group:
+            return sizes.withColumn("rank", F.lit(n))
+        allotted = class_quotas(sizes.withColumnRenamed("group_n", "class_n"), n, target)
+        return allotted.select(target, F.col("class_n").alias("group_n"), F.col("quota").alias("rank"))
+
+    cuts = rank_cuts(df, seed, quotas, group).drop("rank")
     if not group:
-        return ranked.filter(F.col("rn") <= n).drop("rn", "group_n", "group_offset")
-    quotas = class_quotas(df.groupBy(target).agg(F.count(F.lit(1)).alias("class_n")), n, target)
+        return df.where(seeded_place(seed) <= _place(cuts.first())) if n > 0 else df.limit(0)
     # One row per class: the class count is bounded by the label set.
-    return (
-        ranked.join(F.broadcast(quotas.select(target, "quota")), target)
-        .filter(F.col("rn") <= F.col("quota"))
-        .select(*df.columns)
-    )
+    placed = df.withColumn("_place", seeded_place(seed)).join(F.broadcast(cut_lineage(cuts)), group)
+    return placed.where("_place <= cut").select(*df.columns)
+
+
+def _place(row) -> Column:
+    """A cut that was read, as a literal; null, which no row lies before, if there were no rows."""
+    return F.struct(F.lit(row["cut"]["hash"]).alias("hash"), F.lit(row["cut"]["key"]).alias("key")) if row else F.lit(None)
 
 
 def class_quotas(counts: DataFrame, n: int, target: str = TARGET) -> DataFrame:
@@ -152,12 +161,16 @@ def nested_fractions(
     One seeded order serves all fractions, so a smaller subset is contained in
     every larger one. Sizes are max(floor(n * fraction), minimum).
     """
-    ranked = seeded_rank(df, seed, expected_rows=expected_rows)
-    size = lambda f: F.greatest(F.floor(F.col("group_n") * f), F.lit(minimum))
-    members = F.filter(
-        F.array(*[F.lit(float(f)) for f in fractions]), lambda f: F.col("rn") <= size(f)
-    )
-    return ranked.withColumn("fraction", F.explode(members)).drop("group_offset", "group_n")
+    parts = F.array(*[F.lit(float(f)) for f in fractions])
+
+    def sizes(total: DataFrame) -> DataFrame:
+        each = total.withColumn("fraction", F.explode(parts))
+        return each.withColumn("rank", F.greatest(F.floor(F.col("group_n") * F.col("fraction")), F.lit(minimum)))
+
+    # One cut per fraction is read.
+    cuts = rank_cuts(df, seed, sizes, expected_rows=expected_rows).orderBy("fraction").collect()
+    inside = F.array_compact(F.array(*[F.when(F.col("_at") <= _place(c), F.lit(c["fraction"])) for c in cuts])) if cuts else F.array().cast("array<double>")
+    return df.withColumn("_at", seeded_place(seed)).withColumn("fraction", F.explode(inside)).drop("_at")
 
 
 def data_fractions(

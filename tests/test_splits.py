@@ -146,3 +146,28 @@ def test_hot_values_and_groups_keep_exact_prefix_sums(spark):
     got = {(r["g"], r["v"]): (r["before_n"], r["total_n"]) for r in ordering.prefix_sums(counts, ["g"], "v", ["n"], 5).collect()}
     assert got["g", 1.0] == (0, 3198) and got["g", 2.0] == (3000, 3198) and got["g", 199.0] == (3197, 3198)
     assert got["h", 5.0] == (0, 2)
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_rank_cuts_are_the_places_of_the_ranks(spark, monkeypatch, digits):
+    monkeypatch.setattr(ordering, "prefix_digits", lambda rows: digits)
+    df = keyed(spark, 500, 3)
+    ranked = {(r[TARGET], r["rn"]): r["row_id"] for r in ordering.seeded_rank(df, 9, [TARGET]).collect()}
+    ranks = F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 77, 166, 5000)]))
+    got = ordering.rank_cuts(df, 9, lambda sizes: sizes.withColumn("rank", ranks), [TARGET]).collect()
+    most = {c: max(n for k, n in ranked if k == c) for c in "012"}
+    assert len(got) == 15 and all(r["cut"]["key"] == ranked[r[TARGET], min(r["rank"], most[r[TARGET]])] for r in got)
+
+
+def test_subsets_by_threshold_equal_ranked_subsets(spark):
+    df = keyed(spark, 700, 4).unionByName(keyed(spark, 1).withColumn(TARGET, F.lit("rare")).withColumn("row_id", F.lit("r")))
+    ranked = ordering.seeded_rank(df, 7).select("row_id", "rn").collect()
+    for n in (1, 50, 701, 900):
+        got = {r["row_id"] for r in splits.stratified_subset(df, n, "regression", seed=7).collect()}
+        assert got == {r["row_id"] for r in ranked if r["rn"] <= n}
+    assert splits.stratified_subset(df, 0, "regression", seed=7).count() == 0
+    classes = splits.stratified_subset(df, 101, "classification", seed=7).groupBy(TARGET).count().collect()
+    assert sum(r["count"] for r in classes) == 101 and {r[TARGET]: r["count"] for r in classes}["rare"] == 1
+    sizes = {r["fraction"]: r["count"] for r in splits.nested_fractions(df, [0.1, 0.5, 1.0], 7, minimum=100).groupBy("fraction").count().collect()}
+    assert sizes == {0.1: 100, 0.5: 350, 1.0: 701}
+    assert splits.nested_fractions(df.limit(0), [0.5], 7).count() == 0 and splits.stratified_subset(df.limit(0), 5, "regression").count() == 0
