@@ -370,10 +370,43 @@ def boosting_histogram_split(spark, sf_dir):
     booster = trees.Booster("classification", rounds=1, max_depth=1, l2=1.0, min_rows=1, min_child_weight=1.0)
     edges = trees.bin_edges(rows, 1, 255)
     state = trees.binned(rows, edges).withColumn("raw", F.array(F.lit(0.0)))
-    (best,) = booster._level(state, [], [trees.Tree()], [[0]], [np.arange(1)], 0)
+    units = trees.Units.of(rows.count(), 1.0)
+    sums = booster._node_sums(state, [trees.Tree()], [[(0, -1, -1)]], [np.arange(1)], 0, units, [])
+    (best,) = booster._best_splits(sums, units).collect()
     return spark.createDataFrame([(float(edges[0][best["bin"]]), round(best["gain"], 4))], "cut double, gain double")
 
 
+def _best_first_round(r: int, rate: str) -> str:
+    """CTEs of one boosting round on cells(x, n, s, raw): the best cut, the better cut of its sides, three leaf values."""
+    gain = "gl * gl / nl + (g - gl) ** 2 / (n - nl) - g * g / n"
+
+    def scan(cells: str, part: str) -> str:
+        return (f"SELECT x{part and ', side'}, sum(g) OVER ({part} ORDER BY x) AS gl, sum(n) OVER ({part} ORDER BY x) AS nl, "
+                f"sum(g) OVER ({part}) AS g, sum(n) OVER ({part}) AS n FROM {cells}")
+
+    return f"""c{r} AS (SELECT x, n, s, raw, n * raw - s AS g FROM cells{r}),
+  a{r} AS (SELECT x AS first FROM ({scan(f'c{r}', '')}) WHERE n > nl ORDER BY {gain} DESC, x LIMIT 1),
+  d{r} AS (SELECT c{r}.*, x > first AS side FROM c{r}, a{r}),
+  b{r} AS (SELECT side AS part, x AS next FROM ({scan(f'd{r}', 'PARTITION BY side')}) WHERE n > nl ORDER BY {gain} DESC, side, x LIMIT 1),
+  cells{r + 1} AS (SELECT x, n, s, raw - {rate} * sum(g) OVER leaf / sum(n) OVER leaf AS raw FROM d{r}, b{r}
+    WINDOW leaf AS (PARTITION BY side, side = part AND x > next))"""
+
+
+@query("boosting_two_rounds", f"""WITH y AS (SELECT l_quantity AS x, cast(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+  cells0 AS (SELECT x, count(*) AS n, sum(y) AS s, (SELECT avg(y) FROM y) AS raw FROM y GROUP BY x),
+  {_best_first_round(0, "0.5e0")}, {_best_first_round(1, "0.5e0")}
+  SELECT cast(x AS DOUBLE) AS quantity, round(raw, 1) AS pred FROM cells2""")
+def boosting_two_rounds(spark, sf_dir):
+    """Prediction per quantity after two rounds of trees grown best first to three leaves."""
+    li = table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
+    features = F.array(F.col("l_quantity").cast("double")).alias("features")
+    rows = li.select(key.alias("row_id"), features, F.col("l_extendedprice").cast("double").alias(TARGET))
+    booster = trees.Booster("regression", rounds=2, learning_rate=0.5, max_leaves=3, min_rows=1)
+    seen = li.select(features).distinct()
+    return booster.fit(rows).predict(seen).select(F.get("features", F.lit(0)).alias("quantity"), F.round("pred", 1).alias("pred"))
+
+
 # ---------------------------------------------------------------- studies
 
 

@@ -1,14 +1,19 @@
-"""Histogram boosting and extremely randomised trees grown level by level on Spark.
+"""Histogram boosting and extremely randomised trees grown on Spark.
 
-Rows are binned once and persisted. Each level is one job: tasks turn their rows
+Rows are binned once and persisted. Each step is one job: tasks turn their rows
 into partial statistics per (tree, node, feature, bin), Spark sums them and picks
-the best split per node, and only the chosen splits come back to the driver. Raw
-scores are rebuilt in the tasks from the trees since the last checkpoint, so no
-lineage grows with the number of rounds.
+the best split per node, and only the chosen splits come back to the driver.
+
+The booster grows its trees best first: a step takes all nodes that the leaf budget
+can still reach, counts the rows of the smaller child of every split, and takes the
+larger child as the parent's sums minus those. Raw scores move once a round. Gradients
+are summed as whole multiples of a power of two, so the sums, and with them the trees,
+do not depend on the order of tasks or the number of partitions.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +37,8 @@ from foldwright.operators.ordering import grouped_quantiles
 from foldwright.session import cut_lineage
 
 CHECKPOINT_ROUNDS = 10
-_CELL_BUDGET = 8_000_000
+_CELL_BUDGET = 8_000_000  # counters a task holds at once; wider steps take several blocks of features
+_GRADIENT_BITS = 30
 
 
 @dataclass
@@ -134,19 +140,70 @@ def gradients(loss: str, raw: np.ndarray, y: np.ndarray, quantile: float) -> tup
     return p - goal, np.maximum(p * (1 - p), 1e-12)
 
 
+class Growth:
+    """One tree grown best first, with the nodes whose best split is known."""
+
+    def __init__(self) -> None:
+        self.tree = Tree()
+        self.splits: dict[int, dict] = {}
+
+    def order(self, max_leaves: int) -> list[int]:
+        """Nodes to split, the highest gain first, until there are ``max_leaves`` leaves.
+
+        Nodes not looked at yet count as leaves. Knowing them can only move other nodes
+        back, so a node that is not taken now is never taken later.
+        """
+        heap = [(-self.splits[0]["gain"], 0)] if 0 in self.splits else []
+        taken = []
+        while heap and len(taken) + 1 < max_leaves:
+            node = heapq.heappop(heap)[1]
+            taken.append(node)
+            left = self.tree.left[node]
+            for child in (left, left + 1) if left >= 0 else ():
+                if child in self.splits:
+                    heapq.heappush(heap, (-self.splits[child]["gain"], child))
+        return taken
+
+    def grown(self, max_leaves: int) -> Tree:
+        """The tree of the taken splits only, numbered in the order they were taken."""
+        tree = Tree(value=[self.tree.value[0]])
+        place = {0: 0}
+        for node in self.order(max_leaves):
+            left = self.tree.left[node]
+            place[left], place[left + 1] = tree.split(
+                place[node], self.tree.feature[node], self.tree.cut[node], *self.tree.value[left : left + 2])
+        return tree
+
+
+@dataclass(frozen=True)
+class Units:
+    """The powers of two that gradients and second derivatives are counted in."""
+
+    g: float
+    h: float
+
+    @staticmethod
+    def of(n_rows: int, largest: float) -> Units:
+        """So fine that the sum over all rows still fits a long."""
+        bits = min(_GRADIENT_BITS, 62 - int(n_rows).bit_length())
+        exponent = int(np.ceil(np.log2(largest))) if largest > 0 else 0
+        return Units(2.0 ** (exponent - bits), 2.0**-bits)
+
+
 @dataclass
 class Booster:
     """Second-order histogram gradient boosting.
 
-    ``loss``: squared, quantile, logistic or softmax. Growth is level-wise and
-    stops at ``max_leaves``; all class trees of a round grow in the same jobs.
+    ``loss``: squared, quantile, logistic or softmax. Trees grow best first to
+    ``max_leaves`` leaves, without a depth limit unless ``max_depth`` is given; all class
+    trees of a round grow in the same jobs.
     """
 
     task: str
     rounds: int = 100
     learning_rate: float = 0.1
     max_leaves: int = 31
-    max_depth: int = 6
+    max_depth: int | None = None
     min_rows: int = 20
     min_child_weight: float = 1e-3
     l2: float = 0.0
@@ -165,45 +222,45 @@ class Booster:
             return "squared"
         return "logistic" if self.classes == 2 else "softmax"
 
-    def _base(self, data: DataFrame) -> list[float]:
+    def _base(self, data: DataFrame, n_rows: int) -> list[float]:
         if self.quantile is not None:
-            return [float(data.agg(F.percentile_approx(TARGET, self.quantile, 10_000)).first()[0])]
+            return [leaf_quantiles(data.select(F.lit(0).alias("leaf"), F.col(TARGET).alias("residual")),
+                                   self.quantile).first()["value"]]
         if self.task == "regression":
-            return [float(data.agg(F.avg(TARGET)).first()[0])]
+            unit = Units.of(n_rows, data.agg(F.max(F.abs(TARGET))).first()[0]).g
+            total = data.agg(F.sum(F.round(F.col(TARGET) / unit).cast("long"))).first()[0]
+            return [total / n_rows * unit]
         counts = {int(r[TARGET]): r["n"] for r in data.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n")).collect()}
-        total = sum(counts.values())
-        share = [min(max(counts.get(c, 0) / total, 1e-9), 1 - 1e-9) for c in range(self.classes)]
+        share = [min(max(counts.get(c, 0) / n_rows, 1e-9), 1 - 1e-9) for c in range(self.classes)]
         if self.classes == 2:
             return [float(np.log(share[1] / share[0]))]
         return [float(np.log(s)) for s in share]
 
     def fit(self, train: DataFrame) -> BoosterModel:
+        n_rows = train.count()
         width = len(train.select("features").first()[0])
         edges = bin_edges(train, width, self.max_bins)
-        data = binned(spread(train, train.count()), edges).persist()
+        data = binned(spread(train, n_rows), edges).persist()
+        held = [data]
         try:
-            base = self._base(data)
+            base = self._base(data, n_rows)
             state = data.withColumn("raw", F.array(*[F.lit(b) for b in base]))
-            done: list[list[Tree]] = []
-            pending: list[list[Tree]] = []
+            rounds: list[list[Tree]] = []
             for r in range(self.rounds):
-                grown = self._round(state, pending, r, width, len(base))
-                pending.append(grown)
-                if len(pending) == CHECKPOINT_ROUNDS and r + 1 < self.rounds:
-                    state = cut_lineage(self._advance(state, pending))
-                    done, pending = done + pending, []
-            trees = done + pending
+                rounds.append(self.grow_round(state, n_rows, r, width, len(base)))
+                if r + 1 < self.rounds:
+                    state = _advanced(state, rounds[-1]).persist()
+                    if (r + 1) % CHECKPOINT_ROUNDS == 0:
+                        held.append(state)
+                        state = cut_lineage(state)
+                    held.append(state)
+                    # The one before the newest is needed until the next round has read it.
+                    while len(held) > 2:
+                        held.pop(0).unpersist()
         finally:
-            data.unpersist()
-        return BoosterModel(self.task, self.loss, edges, base, trees)
-
-    def _advance(self, state: DataFrame, pending: list[list[Tree]]) -> DataFrame:
-        def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            return {"raw": list_column(_raw_scores(matrix(batch, "bins", np.int16), matrix(batch, "raw"), pending))}
-
-        return with_computed(
-            state, compute, [T.StructField("raw", T.ArrayType(T.DoubleType()))], drop=["raw"]
-        )
+            for table in held:
+                table.unpersist()
+        return BoosterModel(self.task, self.loss, edges, base, rounds)
 
     def _columns(self, r: int, k: int, width: int) -> np.ndarray:
         if self.colsample >= 1:
@@ -211,87 +268,128 @@ class Booster:
         keep = max(1, int(np.ceil(width * self.colsample)))
         return np.sort(np.random.default_rng([self.seed, r, k]).permutation(width)[:keep])
 
-    def _round(self, state, pending, r, width, outputs) -> list[Tree]:
-        trees = [Tree() for _ in range(outputs)]
-        active = [[0] for _ in range(outputs)]
-        n_leaves = [1] * outputs
+    def _units(self, state: DataFrame, n_rows: int) -> Units:
+        """Gradients of the squared loss have no fixed range; all others lie within -1 and 1."""
+        largest = 1.0
+        if self.loss == "squared":
+            largest = state.agg(F.max(F.abs(F.element_at("raw", 1) - F.col(TARGET)))).first()[0]
+        return Units.of(n_rows, largest)
+
+    def grow_round(self, state: DataFrame, n_rows: int, r: int, width: int, outputs: int) -> list[Tree]:
+        """The trees of one round, one for each output, for state(target, bins, row_hash, raw)."""
+        units = self._units(state, n_rows)
+        growths = [Growth() for _ in range(outputs)]
         columns = [self._columns(r, k, width) for k in range(outputs)]
-        for _ in range(self.max_depth):
-            if not any(active):
-                break
-            splits = self._level(state, pending, trees, active, columns, r)
-            active = [[] for _ in range(outputs)]
-            for s in sorted(splits, key=lambda s: (-s["gain"], s["k"], s["node"])):
-                k, node = s["k"], s["node"]
-                tree = trees[k]
-                if node == 0 and s["feature"] < 0:
-                    tree.value[0] = self._leaf(s["g"], s["h"])
-                    continue
-                if s["feature"] < 0 or n_leaves[k] >= self.max_leaves:
-                    continue
-                kids = tree.split(
-                    node, s["feature"], s["bin"], self._leaf(s["gl"], s["hl"]),
-                    self._leaf(s["g"] - s["gl"], s["h"] - s["hl"]),
-                )
-                n_leaves[k] += 1
-                active[k] += [
-                    c for c, n in zip(kids, (s["nl"], s["n"] - s["nl"])) if n >= 2 * self.min_rows
-                ]
-            active = [a if n_leaves[k] < self.max_leaves else [] for k, a in enumerate(active)]
+        counted: list[DataFrame] = []
+        # Per output: the nodes whose rows are counted, each with the parent and the sibling found from it.
+        step: list[list[tuple[int, int, int]]] = [[(0, -1, -1)] for _ in range(outputs)]
+        try:
+            while any(step):
+                sums = self._node_sums(state, [g.tree for g in growths], step, columns, r, units, counted).persist()
+                counted.append(sums)
+                for s in self._best_splits(sums, units).collect():
+                    growth = growths[s["k"]]
+                    if s["node"] == 0:
+                        growth.tree.value[0] = self._leaf(s["g"], s["h"])
+                    if s["feature"] >= 0:
+                        growth.splits[s["node"]] = s.asDict()
+                step = [self._expanded(g) for g in growths]
+        finally:
+            for sums in counted:
+                sums.unpersist()
+        trees = [g.grown(self.max_leaves) for g in growths]
         if self.loss == "quantile":
-            self._quantile_leaves(state, pending, trees)
+            self._quantile_leaves(state, trees)
         return trees
 
+    def _expanded(self, growth: Growth) -> list[tuple[int, int, int]]:
+        """Split the taken nodes that are still leaves: (smaller child, parent, larger child) of each to be looked at."""
+        tree, out = growth.tree, []
+        for node in growth.order(self.max_leaves):
+            if tree.left[node] >= 0:
+                continue
+            s = growth.splits[node]
+            left, right = tree.split(
+                node, s["feature"], s["bin"], self._leaf(s["gl"], s["hl"]), self._leaf(s["g"] - s["gl"], s["h"] - s["hl"]))
+            rows = {left: s["nl"], right: s["n"] - s["nl"]}
+            deep = self.max_depth is not None and tree.depth[left] >= self.max_depth
+            if not deep and max(rows.values()) >= 2 * self.min_rows:
+                small = left if rows[left] <= rows[right] else right
+                out.append((small, node, left + right - small))
+        return out
+
     def _leaf(self, g: float, h: float) -> float:
         return -self.learning_rate * g / (h + self.l2) if h + self.l2 > 0 else 0.0
 
-    def _level(self, state, pending, trees, active, columns, r) -> list:
-        """Best split of every active node: partial histograms, one shuffle, split choice."""
+    def _node_sums(self, state, trees, step, columns, r, units, counted) -> DataFrame:
+        """Sums (g, h, n) per (k, node, feature, bin) of the step's nodes in units: counted rows, and parents minus those.
+
+        With them the sums up to the bin (gl, hl, nl) and over all bins (ga, ha, na).
+        """
+        cells = sum(3 * len(nodes) * len(cols) * self.max_bins for nodes, cols in zip(step, columns))
+        blocks = -(-cells // _CELL_BUDGET)
+        rows = state.select(TARGET, "bins", "row_hash", "raw")
+        schema = "k int, node int, feature int, bin int, g long, h long, n long"
+        parts = [
+            rows.mapInArrow(self._counted(trees, step, [c[block::blocks] for c in columns], r, units), schema)
+            for block in range(blocks)
+        ]
+        larger = {(k, parent): child for k, nodes in enumerate(step) for _, parent, child in nodes if parent >= 0}
+        if larger:
+            sibling = F.create_map(*[F.lit(v) for (k, node), child in larger.items() for v in (f"{k} {node}", child)])
+            parents = counted[-1].withColumn("node", F.try_element_at(sibling, F.concat_ws(" ", "k", "node")))
+            parts.append(parents.filter("node IS NOT NULL").select(*parts[0].columns))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.union(part)
+        # One shuffle: the sums and the bin scan (at most max_bins rows per feature) share the partitioning.
+        upto = "OVER (PARTITION BY k, node, feature ORDER BY bin)"
+        whole = "OVER (PARTITION BY k, node, feature)"
+        return (
+            out.repartition("k", "node", "feature")
+            .groupBy("k", "node", "feature", "bin")
+            .agg(*[F.sum(v).alias(v) for v in ("g", "h", "n")])
+            .filter("n > 0")
+            .selectExpr("*", *[f"sum({v}) {upto} AS {v}l" for v in "ghn"], *[f"sum({v}) {whole} AS {v}a" for v in "ghn"])
+        )
+
+    def _counted(self, trees, step, columns, r, units):
         loss, q = self.loss, self.quantile or 0.5
         subsample, seed, n_bins = self.subsample, self.seed, self.max_bins
 
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            held = 0
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = {
+                k: np.zeros((3, len(nodes) * len(columns[k]) * n_bins), dtype=np.int64)
+                for k, nodes in enumerate(step) if nodes and len(columns[k])
+            }
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 bins = matrix(batch, "bins", np.int16)
-                raw = _raw_scores(bins, matrix(batch, "raw"), pending)
-                g, h = gradients(loss, raw, vector(batch, TARGET), q)
                 use = np.ones(len(bins), dtype=bool)
                 if subsample < 1:
                     use = _mix(vector(batch, "row_hash", np.int64), seed * 100_003 + r) < subsample
-                for k, nodes in enumerate(active):
-                    if not nodes:
-                        continue
+                g, h = gradients(loss, matrix(batch, "raw"), vector(batch, TARGET), q)
+                for k, total in sums.items():
                     slot = np.full(len(trees[k].feature), -1)
-                    slot[nodes] = np.arange(len(nodes))
+                    slot[[node for node, _, _ in step[k]]] = np.arange(len(step[k]))
                     at = slot[trees[k].leaves(bins)]
-                    rows = use & (at >= 0)
-                    if not rows.any():
-                        continue
+                    rows = np.flatnonzero(use & (at >= 0))
                     cols = columns[k]
-                    size = len(nodes) * len(cols) * n_bins
-                    if k not in sums:
-                        sums[k] = np.zeros((3, size))
-                        held += 3 * size
-                    base = at[rows] * (len(cols) * n_bins)
-                    gk, hk = g[rows, k], h[rows, k]
-                    for c, j in enumerate(cols):
-                        cell = base + c * n_bins + bins[rows, j]
-                        sums[k][0] += np.bincount(cell, gk, size)
-                        sums[k][1] += np.bincount(cell, hk, size)
-                        sums[k][2] += np.bincount(cell, minlength=size)
-                if held > _CELL_BUDGET:
-                    yield from _emit(sums, active, columns, n_bins)
-                    sums, held = {}, 0
-            yield from _emit(sums, active, columns, n_bins)
-
-        # One shuffle: the sums, the bin scan (at most max_bins rows per feature) and the
-        # choice per feature share the hash partitioning by (k, node, feature).
-        upto = "OVER (PARTITION BY k, node, feature ORDER BY bin)"
-        whole = "OVER (PARTITION BY k, node, feature)"
+                    first = at[rows, None] * len(cols) + np.arange(len(cols))
+                    cell = (first * n_bins + bins[np.ix_(rows, cols)]).ravel()
+                    # A batch's sums of whole numbers are exact as doubles, the totals are longs.
+                    for i, (value, unit) in enumerate(((g, units.g), (h, units.h))):
+                        whole = np.repeat(np.rint(value[rows, k] / unit), len(cols))
+                        total[i] += np.bincount(cell, whole, total.shape[1]).astype(np.int64)
+                    total[2] += np.bincount(cell, minlength=total.shape[1])
+            for k, total in sums.items():
+                yield from _emitted(k, step[k], columns[k], n_bins, total)
+
+        return run
+
+    def _best_splits(self, sums: DataFrame, units: Units) -> DataFrame:
+        """Best split of every node of the sums."""
         gain = (
             f"gl * gl / nullif(hl + {self.l2!r}D, 0D) "
             f"+ (g - gl) * (g - gl) / nullif(h - hl + {self.l2!r}D, 0D) - g * g / nullif(h + {self.l2!r}D, 0D)"
@@ -300,17 +398,11 @@ class Booster:
             f"nl >= {self.min_rows} AND n - nl >= {self.min_rows} "
             f"AND hl >= {self.min_child_weight!r}D AND h - hl >= {self.min_child_weight!r}D"
         )
-        best = (
-            state.select(TARGET, "bins", "row_hash", "raw").mapInArrow(
-                partial, "k int, node int, feature int, bin int, g double, h double, n double"
-            )
-            .repartition("k", "node", "feature")
-            .groupBy("k", "node", "feature", "bin")
-            .agg({"g": "sum", "h": "sum", "n": "sum"})
-            .selectExpr(
-                "k", "node", "feature", "bin",
-                f"sum(`sum(g)`) {upto} AS gl", f"sum(`sum(h)`) {upto} AS hl", f"sum(`sum(n)`) {upto} AS nl",
-                f"sum(`sum(g)`) {whole} AS g", f"sum(`sum(h)`) {whole} AS h", f"sum(`sum(n)`) {whole} AS n",
+        return (
+            sums.selectExpr(
+                "k", "node", "feature", "bin", "nl", "na AS n",
+                *[f"{v}{of} * {unit!r}D AS {v}{side}" for v, unit in (("g", units.g), ("h", units.h))
+                  for of, side in (("l", "l"), ("a", ""))],
             )
             .selectExpr("*", f"CASE WHEN {allowed} THEN coalesce({gain}, -1D) ELSE -1D END AS gain")
             .groupBy("k", "node")
@@ -325,20 +417,27 @@ class Booster:
                 "s.hl", "s.nl", "s.g", "s.h", "s.n",
             )
         )
-        return best.collect()
 
-    def _quantile_leaves(self, state, pending, trees) -> None:
+    def _quantile_leaves(self, state: DataFrame, trees: list[Tree]) -> None:
         """Replace leaf values by the residual quantile of the leaf's rows."""
         tree = trees[0]
-        found = leaf_quantiles(cut_lineage(_leaf_residuals(state, pending, tree)), self.quantile).collect()
+        found = leaf_quantiles(cut_lineage(_leaf_residuals(state, tree)), self.quantile).collect()
         for r in found:
             tree.value[r["leaf"]] = self.learning_rate * r["value"]
 
 
-def _leaf_residuals(state: DataFrame, pending: list[list[Tree]], tree: Tree) -> DataFrame:
+def _advanced(state: DataFrame, trees: list[Tree]) -> DataFrame:
+    """state with the trees' values added to its raw scores."""
+    def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"raw": list_column(_raw_scores(matrix(batch, "bins", np.int16), matrix(batch, "raw"), [trees]))}
+
+    return with_computed(state, compute, [T.StructField("raw", T.ArrayType(T.DoubleType()))], drop=["raw"])
+
+
+def _leaf_residuals(state: DataFrame, tree: Tree) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         bins = matrix(batch, "bins", np.int16)
-        raw = _raw_scores(bins, matrix(batch, "raw"), pending)[:, 0]
+        raw = matrix(batch, "raw")[:, 0]
         return {"leaf": pa.array(tree.leaves(bins).astype(np.int32)),
                 "residual": pa.array(vector(batch, TARGET) - raw)}
 
@@ -351,29 +450,30 @@ def leaf_quantiles(residuals: DataFrame, q: float) -> DataFrame:
     return grouped_quantiles(residuals, ["leaf"], "residual", {"value": q})
 
 
-def _raw_scores(bins: np.ndarray, raw: np.ndarray, pending: list[list[Tree]]) -> np.ndarray:
+def _raw_scores(bins: np.ndarray, raw: np.ndarray, rounds: list[list[Tree]]) -> np.ndarray:
     raw = raw.copy()
-    for trees in pending:
+    for trees in rounds:
         for k, tree in enumerate(trees):
             raw[:, k] += tree.predict(bins)
     return raw
 
 
-def _emit(sums, active, columns, n_bins) -> Iterator[pa.RecordBatch]:
-    for k, s in sums.items():
-        cols = columns[k]
-        cell = np.flatnonzero(s[2])
-        node, rest = np.divmod(cell, len(cols) * n_bins)
-        feature, b = np.divmod(rest, n_bins)
+def _emitted(k: int, nodes, cols: np.ndarray, n_bins: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's sums of the counted nodes, and the same taken off their siblings."""
+    cell = np.flatnonzero(total[2])
+    at, rest = np.divmod(cell, len(cols) * n_bins)
+    feature, b = np.divmod(rest, n_bins)
+    names = np.asarray(nodes, dtype=np.int32)
+    for side, sign in ((0, 1), (2, -1)):
+        node = names[at, side]
+        some = node >= 0
         yield pa.RecordBatch.from_pydict(
             {
-                "k": pa.array(np.full(cell.size, k, dtype=np.int32)),
-                "node": pa.array(np.asarray(active[k], dtype=np.int32)[node]),
-                "feature": pa.array(cols[feature].astype(np.int32)),
-                "bin": pa.array(b.astype(np.int32)),
-                "g": pa.array(s[0][cell]),
-                "h": pa.array(s[1][cell]),
-                "n": pa.array(s[2][cell]),
+                "k": pa.array(np.full(int(some.sum()), k, dtype=np.int32)),
+                "node": pa.array(node[some]),
+                "feature": pa.array(cols[feature[some]].astype(np.int32)),
+                "bin": pa.array(b[some].astype(np.int32)),
+                **{name: pa.array(sign * total[i][cell[some]]) for i, name in enumerate(("g", "h", "n"))},
             }
         )
 
