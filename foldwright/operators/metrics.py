@@ -9,7 +9,6 @@ everything.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +79,14 @@ def roc_auc(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_class.groupBy(*keys).agg(F.avg("auc").alias("roc_auc"))
 
 
-def log_loss(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _loss() -> Column:
+    """-log of the probability of the label, clipped."""
     p = F.element_at("proba", F.col("y").cast("int") + 1)
-    clipped = F.greatest(F.least(p, F.lit(1 - FLOAT_EPS)), F.lit(FLOAT_EPS))
-    return preds.groupBy(*keys).agg(F.avg(-F.log(clipped)).alias("log_loss"))
+    return -F.log(F.greatest(F.least(p, F.lit(1 - FLOAT_EPS)), F.lit(FLOAT_EPS)))
+
+
+def log_loss(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return preds.groupBy(*keys).agg(F.avg(_loss()).alias("log_loss"))
 
 
 def regression_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -130,13 +133,16 @@ def expected_calibration_error(preds: DataFrame, keys: Sequence[str]) -> DataFra
     return bins.groupBy(*keys).agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 
-def brier_score(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean squared distance to the one-hot label (0..2)."""
+def _squared_distance() -> Column:
     squares = F.transform(
         "proba", lambda p, i: F.pow(p - (F.col("y") == i).cast("double"), F.lit(2.0))
     )
-    total = F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)
-    return preds.groupBy(*keys).agg(F.avg(total).alias("brier"))
+    return F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)
+
+
+def brier_score(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean squared distance to the one-hot label (0..2)."""
+    return preds.groupBy(*keys).agg(F.avg(_squared_distance()).alias("brier"))
 
 
 def interval_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -164,17 +170,59 @@ def sorted_bounds(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn("lower", F.least(a, b)).withColumn("upper", F.greatest(a, b))
 
 
+def _counted_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All classification metrics but the AUC from one pass over the predictions.
+
+    The pass leaves one row per (label, prediction, confidence bin); each of them counts for
+    its two classes, its bin and the totals.
+    """
+    cells = (
+        preds.select(
+            *keys, "y", "pred", F.array_max("proba").alias("_c"), _loss().alias("_loss"),
+            _squared_distance().alias("_brier"), (argmax(F.col("proba")) == F.col("y")).cast("long").alias("_h"),
+        )
+        .withColumn("_bin", confidence_bin(F.col("_c")))
+        .groupBy(*keys, "y", "pred", "_bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("_h").alias("hits"),
+             *[f(v).alias(f"{name}{v}") for v in ("_c", "_loss", "_brier") for f, name in ((F.sum, "sum"), (F.count, "rows"))])
+    )
+    same = F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)
+
+    def part(kind: str, of: Column, *sums: Column) -> Column:
+        values = [v.cast("double").alias(name) for name, v in zip("abc", sums)]
+        return F.struct(F.lit(kind).alias("_kind"), of.cast("double").alias("_of"), *values)
+
+    zero, nothing = F.lit(0), F.lit(None)
+    sums = (
+        cells.select(*keys, F.inline(F.array(
+            part("class", F.col("y"), F.col("n"), zero, same),
+            part("class", F.col("pred"), zero, F.col("n"), zero),
+            part("bin", F.col("_bin"), F.col("hits"), F.col("sum_c"), F.col("n")),
+            part("loss", nothing, F.col("sum_loss"), zero, F.col("rows_loss")),
+            part("brier", nothing, F.col("sum_brier"), zero, F.col("rows_brier")),
+        )))
+        .groupBy(*keys, "_kind", "_of")
+        .agg(*[F.sum(v).alias(v) for v in "abc"])
+    )
+    of = lambda kind, value: F.when(F.col("_kind") == kind, value)
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    gap = F.when(F.col("_of").isNotNull(), F.abs(a - b)).otherwise(0.0)
+    share = lambda kind, over, under: F.try_divide(F.sum(of(kind, over)), F.sum(of(kind, under)))
+    return sums.groupBy(*keys).agg(
+        share("class", c, a).alias("accuracy"),
+        F.avg(of("class", F.when(a > 0, c / a))).alias("balanced_accuracy"),
+        F.avg(of("class", F.coalesce(F.try_divide(c * 2.0, a + b), F.lit(0.0)))).alias("f1_macro"),
+        share("loss", a, c).alias("log_loss"),
+        share("bin", gap, c).alias("ece"),
+        share("brier", a, c).alias("brier"),
+    )
+
+
 def classification_panel(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All classification metrics, one row per key."""
-    parts = [
-        class_metrics(preds, keys),
-        roc_auc(preds, keys),
-        log_loss(preds, keys),
-        expected_calibration_error(preds, keys),
-        brier_score(preds, keys),
-    ]
-    # One row per key on each side.
-    return reduce(lambda a, b: a.join(b, list(keys)), parts)
+    counted = _counted_metrics(preds, keys)
+    wide = counted.join(roc_auc(preds, keys), list(keys))  # One row per key on each side.
+    return wide.select(*keys, "accuracy", "balanced_accuracy", "f1_macro", "roc_auc", "log_loss", "ece", "brier")
 
 
 def panel(preds: DataFrame, keys: Sequence[str], task: str) -> DataFrame:
