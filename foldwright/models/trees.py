@@ -254,9 +254,9 @@ class Booster:
                         held.append(state)
                         state = cut_lineage(state)
                     held.append(state)
-                    # The one before the newest is needed until the next round has read it.
-                    while len(held) > 2:
-                        held.pop(0).unpersist()
+                    # The bins stay for lost executors; the state before the newest until the next round has read it.
+                    while len(held) > 3:
+                        held.pop(1).unpersist()
         finally:
             for table in held:
                 table.unpersist()
