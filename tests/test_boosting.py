@@ -98,3 +98,29 @@ def test_units_keep_sums_within_longs():
     for n in (1, 10**6, 10**12):
         units = Units.of(n, 7.0)
         assert n * 7.0 / units.g <= 2**62 and n / units.h <= 2**62
+
+
+def test_plans_do_not_grow_with_rounds_or_steps(spark, monkeypatch):
+    """A job's plan names every cached table below it; a chain of states or sums fills the driver's memory."""
+    sizes = {}
+    best_splits = Booster._best_splits
+
+    def noted(self, sums, units):
+        sizes[len(sizes)] = len(sums._jdf.queryExecution().toString())
+        return best_splits(self, sums, units)
+
+    monkeypatch.setattr(Booster, "_best_splits", noted)
+    Booster("regression", rounds=6, max_leaves=12, min_rows=5).fit(_rows(spark)[0])
+    assert len(sizes) > 18
+    assert max(sizes.values()) < 12 * sizes[0]
+
+
+def test_states_beyond_the_written_one_are_whole(spark, monkeypatch):
+    monkeypatch.setattr("foldwright.models.trees.CHECKPOINT_ROUNDS", 3)
+    df, x, y = _rows(spark)
+    model = Booster("regression", rounds=8, learning_rate=0.5, max_leaves=4, min_rows=5).fit(df)
+    want = np.full(len(y), y.mean())
+    for _ in range(8):
+        want += _grown_by_brute_force(x, y - want, 4, 0.5, 5)
+    got = {r["row_id"]: r["pred"] for r in model.predict(df).select("row_id", "pred").collect()}
+    assert np.allclose([got[f"r{i}"] for i in range(len(y))], want, atol=1e-4)
