@@ -180,3 +180,37 @@ def test_selection_keeps_some_features(frames, strategy, task):
         return
     assert 1 <= len(kept) <= 8
     assert set(kept) & {0, 1, 2}
+
+
+def test_neighbours_copy_a_row_a_few_times_only():
+    assert neighbours._blocks(400, 500) == 1 and neighbours._blocks(2_000, 500) == 4
+    assert neighbours._blocks(130_000, 500) == 12
+    assert neighbours._blocks(800_000, 500) == -(-800_000 // neighbours.LARGEST_BLOCK)
+
+
+def test_nearest_in_block_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(neighbours, "_CELLS", 700)
+    monkeypatch.setattr(neighbours, "_HITS", 40)
+    rng = np.random.default_rng(1)
+    x, z = rng.integers(0, 3, (90, 3)).astype(float), rng.integers(0, 3, (50, 3)).astype(float)
+    for k in (1, 7, 200):
+        query, row, distance = neighbours._nearest_in_block(x, z, k)
+        exact = np.sqrt(((z[:, None] - x[None]) ** 2).sum(axis=2))
+        want = np.argsort(exact, axis=1, kind="stable")[:, :k]
+        assert (row.reshape(want.shape) == want).all()
+        assert (query == np.repeat(np.arange(50), want.shape[1])).all()
+        assert (distance.reshape(want.shape) == np.take_along_axis(exact, want, axis=1)).all()
+
+
+def test_blocks_are_dealt_evenly_and_cut_into_slices(spark, monkeypatch):
+    rows = spark.range(3_000).select(F.col("id").cast("string").alias("row_id"), F.array(F.col("id") % 7 / 1.0).alias("features"), F.lit(1.0).alias(TARGET))
+    of = lambda x, y, block: np.array([x.sum()])
+    sizes = lambda df: [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    whole = synchronous.lay_out(rows, steps=2, blocks=8)
+    assert max(sizes(whole)) < 1.3 * 3_000 / 8
+    monkeypatch.setattr(synchronous, "SLICE_ROWS", 100)
+    cut = synchronous.lay_out(rows, steps=2, blocks=8)
+    assert len(sizes(cut)) == 32 and max(sizes(cut)) < 150
+    for step in (0, 1, None):
+        assert np.allclose(synchronous.summed_step(cut, step, of)[1], synchronous.summed_step(whole, step, of)[1])
+        assert synchronous.summed_step(cut, step, of)[0] == synchronous.summed_step(whole, step, of)[0]
