@@ -270,3 +270,11 @@ def test_batched_scores_equal_trial_by_trial(spark, sf_dir, name, model, choices
     got = {(t, step): score for step in range(2) for t, score in batched.scores(step, trials).items()}
     batched.close()
     assert got == pytest.approx(one_by_one(pairs, ds, model, base, trials, names), rel=1e-8)
+
+
+def test_labels_are_not_sent_through_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i, "x", "en", "web", 5) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    df = dataset(spark, str(tmp_path), "doc_quality").df
+    assert df.count() == 3
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
