@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -171,3 +172,15 @@ def test_subsets_by_threshold_equal_ranked_subsets(spark):
     sizes = {r["fraction"]: r["count"] for r in splits.nested_fractions(df, [0.1, 0.5, 1.0], 7, minimum=100).groupBy("fraction").count().collect()}
     assert sizes == {0.1: 100, 0.5: 350, 1.0: 701}
     assert splits.nested_fractions(df.limit(0), [0.5], 7).count() == 0 and splits.stratified_subset(df.limit(0), 5, "regression").count() == 0
+
+
+def test_seeded_rank_sends_no_hash(spark):
+    """What is shuffled for the ranks is the rows and their prefix; the ranks are those of the whole hash."""
+    rows = [(f"k{i}", i % 3) for i in range(500)]
+    ranked = ordering.seeded_rank(spark.createDataFrame(rows, "row_id string, c int"), 7, ["c"])
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[plan.index("RepartitionByExpression"):plan.index("Aggregate")]
+    assert "_hash" not in sent and "_bucket" in sent
+    by_hash = sorted(rows, key=lambda r: (r[1], hashlib.md5(f"7:{r[0]}".encode()).hexdigest(), r[0]))
+    wanted = {key: 1 + i - [x[1] for x in by_hash].index(c) for i, (key, c) in enumerate(by_hash)}
+    assert {r["row_id"]: r["rn"] for r in ranked.collect()} == wanted
