@@ -1,11 +1,15 @@
+import threading
+
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from foldwright.functions.scalar import hash_unit, normal_ppf_sql
 from foldwright.models import linear, neighbours
 from foldwright.models.logistic import Logistic
-from foldwright.models import sgd, synchronous
+from foldwright.models import sgd, svm, synchronous
 from foldwright.models.mlp import MLP
 from foldwright.models.sgd import SGD
 from foldwright.models.zoo import available_models, build_model, build_quantile_model, is_allowed
@@ -214,3 +218,37 @@ def test_blocks_are_dealt_evenly_and_cut_into_slices(spark, monkeypatch):
     for step in (0, 1, None):
         assert np.allclose(synchronous.summed_step(cut, step, of)[1], synchronous.summed_step(whole, step, of)[1])
         assert synchronous.summed_step(cut, step, of)[0] == synchronous.summed_step(whole, step, of)[0]
+
+
+def test_kernel_machine_stores_no_mapped_features(spark):
+    """While it is fitted, what is stored is the rows, not 256 cosines a row; it is as good as LinearSVC on all of them."""
+    features = F.array(*[F.rand(j) * 3 - 1.5 for j in range(3)])
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("row_id"), features.alias("features"))
+    sign = F.get("features", F.lit(0)) * F.get("features", F.lit(1)) + F.rand(9) * 0.5 > 0.2
+    rows = rows.withColumn(TARGET, sign.cast("int")).persist()
+    rows.count()
+    stored = lambda: sum(i.memSize() + i.diskSize() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    before, most, ended = stored(), [0], threading.Event()
+
+    def watch():
+        while not ended.wait(0.05):
+            most[0] = max(most[0], stored())
+
+    watching = threading.Thread(target=watch)
+    watching.start()
+    try:
+        fitted = svm.KernelMachine("classification").fit(rows)
+    finally:
+        ended.set()
+        watching.join()
+    assert most[0] - before < 1_000_000
+    mapped = svm.fourier_features(rows, *fitted.spec).select(F.col(TARGET).cast("double").alias("label"), array_to_vector("features").alias("v"))
+    known = LinearSVC(featuresCol="v", regParam=1 / 3000, maxIter=50, standardization=False).fit(mapped)
+    z, label = (np.array(part) for part in zip(*[(r["v"].toArray(), r["label"]) for r in mapped.collect()]))
+
+    def cost(w):
+        return np.maximum(0, 1 - (2 * label - 1) * (z @ w[1:] + w[0])).mean() + w[1:] @ w[1:] / 6000
+
+    own, theirs = cost(np.array(fitted.margins[0])), cost(np.array([known.intercept, *known.coefficients.toArray()]))
+    assert own < theirs * 1.01
+    rows.unpersist()
