@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foldwright.functions.scalar import hash_unit, normal_ppf_sql
 from foldwright.models import linear, neighbours
 from foldwright.models.logistic import Logistic
-from foldwright.models import sgd, svm, synchronous
+from foldwright.models import sgd, svm, synchronous, trees
 from foldwright.models.mlp import MLP
 from foldwright.models.sgd import SGD
 from foldwright.models.zoo import available_models, build_model, build_quantile_model, is_allowed
@@ -252,3 +252,20 @@ def test_kernel_machine_stores_no_mapped_features(spark):
     own, theirs = cost(np.array(fitted.margins[0])), cost(np.array([known.intercept, *known.coefficients.toArray()]))
     assert own < theirs * 1.01
     rows.unpersist()
+
+
+def test_elimination_bins_the_rows_once(frames, monkeypatch):
+    """The rounds drop features of rows that were binned once, with the result of binning what is left anew."""
+    train = frames[0]
+    calls = []
+    edges = trees.bin_edges
+    monkeypatch.setattr(trees, "bin_edges", lambda *a: calls.append(1) or edges(*a))
+    kept = selection.by_elimination(train, "classification", 2, 0, 0.5, trees=4)
+    assert len(calls) == 1
+    width = len(train.select("features").first()[0])
+    anew = list(range(width))
+    while len(anew) > width // 2:
+        fitted = trees.ExtraTrees("classification", n_estimators=4, max_depth=6, classes=2, seed=0).fit(selection.keep_positions(train, anew))
+        drop = set(np.argsort(np.asarray(fitted.importances), kind="stable")[: max(1, int(width * selection.RFE_STEP))].tolist())
+        anew = [k for i, k in enumerate(anew) if i not in drop]
+    assert kept == anew
