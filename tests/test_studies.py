@@ -1,4 +1,5 @@
 import tempfile
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -278,3 +279,16 @@ def test_labels_are_not_sent_through_the_driver(spark, tmp_path):
     df = dataset(spark, str(tmp_path), "doc_quality").df
     assert df.count() == 3
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_preparations_of_a_batch_are_judged_together():
+    """Trials with different preparations do not wait for each other."""
+    both = threading.Barrier(2, timeout=20)
+
+    class Waiting(objective.Objective):
+        def _group_scores(self, step, key, selections):
+            both.wait()
+            return {trial: 1.0 for members in selections.values() for trial, _ in members}, []
+
+    waiting = Waiting([], "regression", "linear", 0, [], {"numeric_imputer": "mean", "scaler": "standard", "cat_encoder": "onehot"})
+    assert waiting.scores(0, [(0, {"prep.scaler": "standard"}), (1, {"prep.scaler": "robust"}), (2, {})]) == {0: 1.0, 1: 1.0, 2: 1.0}
