@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldwright.catalog import models
+from foldwright.models import linear
 from foldwright.models.sgd import SGD
 from foldwright.operators import splits
 from foldwright.operators.columns import TARGET, encode_target
@@ -292,3 +294,16 @@ def test_preparations_of_a_batch_are_judged_together():
 
     waiting = Waiting([], "regression", "linear", 0, [], {"numeric_imputer": "mean", "scaler": "standard", "cat_encoder": "onehot"})
     assert waiting.scores(0, [(0, {"prep.scaler": "standard"}), (1, {"prep.scaler": "robust"}), (2, {})]) == {0: 1.0, 1: 1.0, 2: 1.0}
+
+
+def test_model_queries_keep_no_second_copy_of_the_rows(spark, sf_dir):
+    """What a model reads once is not stored for it."""
+    levels = []
+
+    class Watched(linear.Ridge):
+        def fit(self, train):
+            levels.append(train.storageLevel)
+            return super().fit(train)
+
+    assert models._score(spark, sf_dir, "part_reg", "linear", {}, Watched()).count() == 4
+    assert not levels[0].useMemory and not levels[0].useDisk
