@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foldwright.functions.scalar import hash_unit, normal_ppf_sql
 from foldwright.models import linear, neighbours
 from foldwright.models.logistic import Logistic
-from foldwright.models import sgd, svm, synchronous, trees
+from foldwright.models import mlp, sgd, svm, synchronous, trees
 from foldwright.models.mlp import MLP
 from foldwright.models.sgd import SGD
 from foldwright.models.zoo import available_models, build_model, build_quantile_model, is_allowed
@@ -120,6 +120,29 @@ def test_dropout_uncertainty_is_positive_and_repeatable(frames):
     assert all(abs(a[k][0] - b[k][0]) < 1e-9 for k in a)
 
 
+def test_dropout_passes_send_rows_once_to_many_tasks(spark, monkeypatch):
+    """Repeated and null keys merge, the passes are those of the masks, one by one, and one partition becomes many."""
+    rng = np.random.default_rng(3)
+    shape = mlp.Shape(4, 1, 8, 2, 0.25, True)
+    weights, stats = shape.start(5) + 0.05, shape.stats() + 0.1
+    data = [(key, [float(v) for v in rng.normal(size=4)]) for key in ["a", "b", "b", None, None, *map(str, range(40))]]
+    df = spark.createDataFrame(data, "row_id string, features array<double>").coalesce(1)
+    model = mlp.MLPModel("regression", shape, weights, stats, 2.0, 3.0, 7)
+    got = {r["row_id"]: (r["mean"], r["std"]) for r in model.predict_uncertainty(df, 6).collect()}
+    hashes = dict((r[0], r[1]) for r in df.select("row_id", F.xxhash64("row_id")).collect())
+    want: dict = {}
+    for key, x in data:
+        for draw in range(6):
+            masks = mlp.row_masks(shape, 7, np.array([hashes[key]]), draw)
+            value = mlp.forward(shape, shape.unpack(weights), stats, np.array([x]), masks)[0][0, 0]
+            want.setdefault(key, []).append(value * 3.0 + 2.0)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], (np.mean(v), np.std(v)), atol=1e-12) for k, v in want.items())
+    scored, real = [], mlp.with_computed
+    monkeypatch.setattr(mlp, "with_computed", lambda rows, *rest, **more: scored.append(rows) or real(rows, *rest, **more))
+    model.predict_uncertainty(df, 6)
+    assert scored[0].count() == len(data) and scored[0].rdd.getNumPartitions() > 1
+
+
 def test_quantile_heads_are_ordered(frames):
     _, reg = frames
     low, high = (build_quantile_model(q, 1, {"max_iter": 3, "max_depth": 2, "learning_rate": 0.5, "alpha": 9}).fit(reg) for q in (0.1, 0.9))
