@@ -328,6 +328,18 @@ def test_wide_search_finds_what_edit_similarity_links(spark):
     assert len(removed[True]) >= 0.95 * len(want) > 2 * len(removed[False])
 
 
+def test_windows_are_runs_whatever_their_place(spark):
+    """Short lines without a common letter share no window; words put before a line leave its other windows."""
+    long = " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    texts = ["abcdefg", "hijklmn", "xyabcdefg", "abcdefghij" * 5, "klmnopqrst" * 5, long, "one two " + long]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    found = {r.length: set(r.windows) for r in lines._windows(table(spark, rows[:1] + rows[2:4] + rows[5:])).collect()}
+    other = {r.length: set(r.windows) for r in lines._windows(table(spark, [rows[1], rows[4]])).collect()}
+    assert not found[7] & other[7] and not found[50] & other[50]
+    assert found[7] <= found[9] and len(found[7]) == 3
+    assert len(found[len(long)]) == lines.WINDOWS and len(found[len(long)] & found[len(long) + 8]) >= lines.WINDOWS - 3
+
+
 def test_fingerprint_is_the_majority(spark):
     rnd = random.Random(3)
     rows = [(i, [f"w{i}_{k}" for k in range(n)]) for i, n in enumerate((0, 1, 2, 3, 15, 16, 63, 64, 126, 127, 128, 253, 254, 255, 1500, 32767, 32768, 70000))]
