@@ -336,10 +336,33 @@ def test_windows_are_runs_whatever_their_place(spark):
     found = {r.length: set(r.windows) for r in lines._windows(table(spark, rows[:1] + rows[2:4] + rows[5:])).collect()}
     other = {r.length: set(r.windows) for r in lines._windows(table(spark, [rows[1], rows[4]])).collect()}
     assert not found[7] & other[7] and not found[50] & other[50]
-    assert found[7] <= found[9] and len(found[7]) == 3
+    assert len(found[7] & found[9]) == 3
     assert len(found[len(long)]) == lines.WINDOWS and len(found[len(long)] & found[len(long) + 8]) >= lines.WINDOWS - 3
 
 
+def test_short_lines_lose_no_link(spark):
+    """Every pair of lines of up to 14 letters with similarity 0.8 shares a key, by brute force."""
+    rnd = random.Random(9)
+    texts = {"la ja", "la ra"}
+    for size in range(1, 15):
+        for _ in range(12):
+            text = [rnd.choice("abcdefghij") for _ in range(size)]
+            texts.add("".join(text))
+            for _ in range(2):
+                other, edits = list(text), rnd.randrange(1, 3)
+                for _ in range(edits):
+                    at, letter = rnd.randrange(len(other) + 1), rnd.choice("abcdefghij")
+                    other[at : at + rnd.randrange(2)] = rnd.choice(([letter], [], [letter]))
+                texts.add("".join(other))
+    texts = sorted(t for t in texts if 0 < len(t) <= 14)
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    keys = lines._windows(docs).join(lines._lines(docs).select("doc_id", F.col("h").alias("node")), "node").select("doc_id", "windows").persist()
+    found = {r.doc_id: set(r.windows) for r in keys.collect()}
+    named = docs.select("doc_id", "text").alias("l").join(docs.select("doc_id", "text").alias("r"), F.expr("l.doc_id < r.doc_id"))
+    alike = named.where("levenshtein(l.text, r.text) <= 0.2D * greatest(length(l.text), length(r.text)) + 1e-9D").select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).collect()
+    assert len(alike) > 150 and all(found[r.a] & found[r.b] for r in alike)
+
+
 def test_fingerprint_is_the_majority(spark):
     rnd = random.Random(3)
     rows = [(i, [f"w{i}_{k}" for k in range(n)]) for i, n in enumerate((0, 1, 2, 3, 15, 16, 63, 64, 126, 127, 128, 253, 254, 255, 1500, 32767, 32768, 70000))]
