@@ -363,6 +363,43 @@ def test_short_lines_lose_no_link(spark):
     assert len(alike) > 150 and all(found[r.a] & found[r.b] for r in alike)
 
 
+def test_no_pair_is_verified_twice(spark):
+    """Pairs that a leader was refused in are not verified again, and no link is lost by that."""
+    members = spark.createDataFrame([(7, n) for n in range(1, 9)], "key long, node long")
+    seen = []
+
+    def verify(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("a % 4 = b % 4 and a > 2")
+
+    comps = {r.node: r.comp for r in link_groups(members, verify).collect()}
+    assert comps == {3: 3, 7: 3, 4: 4, 8: 4}
+    assert len(seen) == len(set(seen)) and {(3, 7), (4, 8)} <= set(seen)
+
+
+def test_letters_lose_no_link(spark):
+    """Short lines of similarity 0.8 pass the letter counts, by brute force; most others do not."""
+    rnd = random.Random(12)
+    texts = set()
+    for size in (1, 3, 9, 20, 45, 78):
+        for _ in range(6):
+            text = [rnd.choice("abcdefghijklmnopqrstuvwxyz   é0ßñ") for _ in range(size)]
+            texts.add("".join(text))
+            other = list(text)
+            for _ in range(size // 5):
+                at = rnd.randrange(len(other) + 1)
+                other[at : at + rnd.randrange(2)] = rnd.choice(([rnd.choice("aez 0é")], [], ["a"]))
+            texts.add("".join(other))
+    texts |= {"a" * 60, "a" * 50, "b" * 60}
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(sorted(texts))])
+    counted = lines._windows(docs).select("length", "norm", *[F.col("letters")[i].alias(f"l{i}") for i in range(6)]).where("length <= 80").persist()
+    pairs = counted.alias("l").join(counted.alias("r"), F.expr("l.norm < r.norm"))
+    alike = F.expr("levenshtein(l.norm, r.norm) <= 0.2D * greatest(l.length, r.length) + 1e-9D")
+    found = pairs.select(alike.alias("alike"), lines._letters_allow("l", "r", 0.8).alias("allowed")).collect()
+    assert sum(r.alike for r in found) > 20 and all(r.allowed for r in found if r.alike)
+    assert sum(r.allowed for r in found) < len(found) / 4
+
+
 def test_fingerprint_is_the_majority(spark):
     rnd = random.Random(3)
     rows = [(i, [f"w{i}_{k}" for k in range(n)]) for i, n in enumerate((0, 1, 2, 3, 15, 16, 63, 64, 126, 127, 128, 253, 254, 255, 1500, 32767, 32768, 70000))]
