@@ -74,6 +74,18 @@ def test_experiment_baseline_repeats_and_gates(spark, sf_dir):
         experiment.run_experiment(ds, "linear", mode="other")
 
 
+def test_registered_audit_runs_every_outer_fold(spark, sf_dir, monkeypatch):
+    asked = []
+
+    def recorded(ds, model, **options):
+        asked.append(options.get("folds"))
+        return experiment.Experiment(ds.name, model, 42, "baseline", None, spark.createDataFrame([("roc_auc_mean", 0.5)], "metric string, value double"))
+
+    monkeypatch.setattr(experiment, "run_experiment", recorded)
+    assert models.audit_repeated_run(spark, sf_dir).first()["reproducible"]
+    assert asked == [None, None]
+
+
 def test_search_stores_full_parameters(spark, sf_dir):
     store = runstore.RunStore(spark, folder())
     e = experiment.run_experiment(
