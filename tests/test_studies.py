@@ -1,6 +1,9 @@
+import hashlib
+import random
 import tempfile
 import threading
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -74,6 +77,25 @@ def test_experiment_baseline_repeats_and_gates(spark, sf_dir):
         experiment.run_experiment(ds, "linear", mode="other")
 
 
+def test_checksums_hold_no_file_whole(spark):
+    """A file beyond what the binary reader may hold, as any of 2 GB is, read in pieces; with and without a last line end."""
+    rng, path = random.Random(3), Path(folder())
+    (path / "a b").mkdir()
+    content = {"rows": rng.randbytes(200_000), "ended": b"x\r\n\n", "blank": b"\n", "zeros": bytes(90_000), "a b/in": b"\xff\xc3\n" + rng.randbytes(50_000)}
+    for name, data in content.items():
+        (path / f"{name}.parquet").write_bytes(data)
+    limits = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "30000b"}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        found = {(r["file"], r["length"], r["sha256"]) for r in cache.checksums(spark, str(path)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {(f"{name.split('/')[-1]}.parquet", len(data), hashlib.sha256(data).hexdigest()) for name, data in content.items()}
+
+
 def test_registered_audit_runs_every_outer_fold(spark, sf_dir, monkeypatch):
     asked = []
 
