@@ -1,9 +1,11 @@
 """The booster against brute force: best-first order, depth, sums from siblings, layouts."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from foldwright.models import trees
 from foldwright.models.trees import Booster, Growth, Tree, Units
 from foldwright.operators.columns import TARGET
 
@@ -124,3 +126,20 @@ def test_states_beyond_the_written_one_are_whole(spark, monkeypatch):
         want += _grown_by_brute_force(x, y - want, 4, 0.5, 5)
     got = {r["row_id"]: r["pred"] for r in model.predict(df).select("row_id", "pred").collect()}
     assert np.allclose([got[f"r{i}"] for i in range(len(y))], want, atol=1e-4)
+
+
+def test_rows_of_a_fit_are_packed_in_blocks(spark):
+    """A pass reads a row for each block, not for each row; the blocks hold what the plain rows hold."""
+    df, _, _ = _rows(spark)
+    edges, blocks = trees.ExtraTrees("regression", max_bins=16).bin(df)
+    plain = trees.binned(df, edges).collect()
+    try:
+        cells = blocks.collect()
+    finally:
+        blocks.unpersist()
+    assert len(cells) < len(plain) / 4
+    held = [(t, b.tobytes()) for r in cells for t, b in zip(np.frombuffer(r[TARGET]), np.frombuffer(r["bins"], dtype=np.int16).reshape(len(r[TARGET]) // 8, -1))]
+    assert sorted(held) == sorted((r[TARGET], bytes(r["bins"])) for r in plain)
+    known = pa.RecordBatch.from_pydict({TARGET: pa.array([np.array([3.0, np.nan]).tobytes()], pa.binary()), "raw": pa.array([np.array([1.0, 2.0]).tobytes()], pa.binary())})
+    state = spark.createDataFrame(known.to_pylist(), f"{TARGET} binary, raw binary")
+    assert trees._residual_bounds(state).collect()[0]["largest"] == 2.0 and [r[0] for r in trees._targets(state).collect()] == [3.0, None]
