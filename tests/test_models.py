@@ -84,6 +84,17 @@ def test_steps_add_up_to_the_gradient_of_all_rows(frames):
     assert synchronous.summed_step(rows, 7, of) == (0.0, None)
 
 
+def test_packed_steps_give_the_same_sums(frames):
+    """The steps of a fit read a row for each run of a mini-batch and block, and add the same numbers in the same order."""
+    rows = synchronous.lay_out(frames[0], steps=2, blocks=3)
+    cells = synchronous.packed(rows)
+    of = lambda x, y, block: np.concatenate([[block * y.sum()], x.T @ y])
+    assert cells.count() < rows.count() / 4 and synchronous.row_width(cells) == len(rows.first()["features"])
+    for step in (0, 1, None):
+        (n, sums), (whole, expected) = synchronous.summed_step(cells, step, of), synchronous.summed_step(rows, step, of)
+        assert n == whole and np.array_equal(sums, expected)
+
+
 def test_chunks_do_not_depend_on_the_batches(frames, monkeypatch):
     table = frames[0].select(TARGET, "features", (F.col(TARGET) * 0 + 3).cast("int").alias("block")).toArrow()
     monkeypatch.setattr(synchronous, "CHUNK_ROWS", 50)
